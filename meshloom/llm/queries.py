@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe import op9_byte_bpe
+from .language import op8_language
 from .minhash import op1_minhash
 from .mixing import op6_mixing
+from .records import op4_records
 from .urls import RULES, op2_urls
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_urls": op2_urls, "op6_mixing": op6_mixing}
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_urls": op2_urls,
+    "op4_records": op4_records,
+    "op6_mixing": op6_mixing,
+    "op8_language": op8_language,
+    "op9_byte_bpe": op9_byte_bpe,
+}
 
 _VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 ORACLES = {
