@@ -7,15 +7,21 @@ from .language import op8_language
 from .minhash import op1_minhash
 from .mixing import op6_mixing
 from .records import op4_records
+from .repeats import op7_repeats
+from .topk import op5_topk
 from .urls import RULES, op2_urls
+from .vectors import op10_vectors
 
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_urls": op2_urls,
     "op4_records": op4_records,
+    "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
+    "op7_repeats": op7_repeats,
     "op8_language": op8_language,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_vectors": op10_vectors,
 }
 
 _VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
