@@ -6,6 +6,8 @@ from .bpe import op9_byte_bpe
 from .language import op8_language
 from .minhash import op1_minhash
 from .mixing import op6_mixing
+from .quotes import SQL as QUOTES_SQL
+from .quotes import op3_quotes
 from .records import op4_records
 from .repeats import op7_repeats
 from .topk import op5_topk
@@ -15,6 +17,7 @@ from .vectors import op10_vectors
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_urls": op2_urls,
+    "op3_quotes": op3_quotes,
     "op4_records": op4_records,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
@@ -26,6 +29,7 @@ QUERIES = {
 
 _VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 ORACLES = {
+    "op3_quotes": QUOTES_SQL,
     "op2_urls": rf"""
         WITH RECURSIVE rules(h, p, v) AS (VALUES {_VALUES}),
         parts AS (
