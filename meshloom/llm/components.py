@@ -31,9 +31,10 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     no task needs a hub's whole neighbourhood in memory. Each pass is written to the shared folder, and passes go on
     until a pair of them changes nothing.
     """
-    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    loops = edges.where("u = v").select(F.col("u").alias("node"))
-    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    named = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    given = stored(named.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")  # once: what makes the edges may be costly
+    loops = given.where("u = v").select(F.col("u").alias("node"))
+    now = given.where("u <> v")
     sign = None
     while True:
         tell = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
