@@ -118,7 +118,7 @@ def shell_labels(spark, sf_dir):
     return topology.shell_labels(meshes(spark)[1])
 
 
-@query("""SELECT * FROM (VALUES ('hinge', 0::BIGINT, 12::BIGINT, 'X', 0.35)) t(mesh_id, a_id, b_id, axis, gap)""")
+@query("""SELECT * FROM (VALUES ('hinge', 0::BIGINT, 12::BIGINT, 'X', 0.35e0)) t(mesh_id, a_id, b_id, axis, gap)""")
 def prismatic_joints(spark, sf_dir):
     """Shells of a mesh that one axis alone parts by 0.10 to 3."""
     s = topology.shells(topology.facets(*meshes(spark))).withColumnRenamed("shell_id", "id")
@@ -230,8 +230,8 @@ def material_keys(spark, sf_dir):
 
 @query(f"""WITH {_NAMES}, raw AS (SELECT DISTINCT p_name || ' ' || p_type AS raw FROM part UNION SELECT * FROM (VALUES ('pyrex'), ('carb'), ('plate'), ('Structural Carbon Steel (AISI 1020)'), ('POM / Polyacetal (Delrin)')) v),
     keyed AS (SELECT raw, {_KEY.replace('p_name', 'raw')} AS key FROM raw), words AS (SELECT raw, key, string_split(key, '_') AS w FROM keyed),
-    tries AS (SELECT raw, 0 AS stage, 0 AS at, key AS name FROM words UNION ALL SELECT raw, 1, i, w[i] || '_' || w[i + 1] FROM words, range(1, 20) r(i) WHERE i < len(w) UNION ALL SELECT raw, 2, i, w[i] FROM words, range(1, 21) r(i) WHERE i <= len(w)),
-    found AS (SELECT raw, arg_min(id, stage * 1000 + at) AS id FROM tries JOIN names USING (name) GROUP BY raw),
+    tries AS (SELECT raw, 0 AS stage, 0 AS place, key AS name FROM words UNION ALL SELECT raw, 1, i, w[i] || '_' || w[i + 1] FROM words, range(1, 20) r(i) WHERE i < len(w) UNION ALL SELECT raw, 2, i, w[i] FROM words, range(1, 21) r(i) WHERE i <= len(w)),
+    found AS (SELECT raw, arg_min(id, stage * 1000 + place) AS id FROM tries JOIN names USING (name) GROUP BY raw),
     long(pos, m) AS (VALUES {", ".join(f"({i}, '{m}')" for i, m in _LONG)}),
     held AS (SELECT raw, arg_min(m, pos) AS id FROM keyed, long WHERE contains(key, m) OR (length(key) >= 4 AND starts_with(m, key)) GROUP BY raw)
     SELECT k.raw, coalesce(f.id, h.id, 'steel') AS material_id FROM keyed k LEFT JOIN found f USING (raw) LEFT JOIN held h USING (raw)""")
@@ -419,7 +419,7 @@ def step_numbers(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", text.step_number(F.col("l_extendedprice") / F.lit(7.0)).alias("number"))
 
 
-@query("WITH b AS (SELECT c_nationkey AS k, c_custkey AS id, c_acctbal AS lo, c_acctbal + 100e0 AS hi FROM customer) SELECT i.k, i.id AS inner_id, arg_min(o.id, (o.hi - o.lo, o.id)) AS outer_id FROM b i LEFT JOIN (SELECT k, id, lo - 500e0 AS lo, hi + 500e0 AS hi FROM b WHERE id % 3 = 0) o ON o.k = i.k AND i.lo >= o.lo - 1e-3 AND i.hi <= o.hi + 1e-3 GROUP BY ALL")
+@query("WITH b AS (SELECT c_nationkey AS k, c_custkey AS id, c_acctbal AS lo, c_acctbal + 100e0 AS hi FROM customer) SELECT i.k, i.id AS inner_id, min(o.id) AS outer_id FROM b i LEFT JOIN (SELECT k, id, lo - 500e0 AS lo, hi + 500e0 AS hi FROM b WHERE id % 3 = 0) o ON o.k = i.k AND i.lo >= o.lo - 1e-3 AND i.hi <= o.hi + 1e-3 GROUP BY ALL")
 def smallest_enclosing(spark, sf_dir):
     """Intervals of account balances in wider ones of the same nation, the ids breaking ties."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 100.0).alias("hi"))
