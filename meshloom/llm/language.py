@@ -257,13 +257,17 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, rows_a_language: int = 150) -> Model:
+def train(docs: DataFrame, rows_a_language: int = 150, most_languages: int = 200) -> Model:
     """fit() on about `rows_a_language` rows of each language (all, if fewer), chosen by a hash of doc_id: rows with a
-    language, an id and a text that are not held out. The bound does not grow with the corpus."""
+    language, an id and a text that are not held out. The `most_languages` languages with the most rows are learned. The
+    bounds do not grow with the corpus; counts cover all of it, and rows are picked in the scan, without a shuffle."""
     labelled = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < F.lit(float(rows_a_language << 30)) / F.col("n")
-    sample = labelled.join(counts, "lang").where(pick).select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "lang", "text"])
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()
+    if not counts:
+        return fit([], [])
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, (rows_a_language << 30) // r["n"]))])
+    pick = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < F.try_element_at(below, F.col("lang"))
+    sample = labelled.where(pick).toPandas().sort_values(["doc_id", "lang", "text"])
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
