@@ -30,13 +30,13 @@ def oriented_edges(entities: DataFrame) -> DataFrame:
     """(file_id, face_id, loop_id, ord, u, v): each face's directed edges, from vertex loops and from loops of points."""
     of = lambda *kinds: entities.where(F.col("entity_type").isin(*kinds))
     faces = of("ADVANCED_FACE", "FACE_SURFACE", "FACE").select("file_id", F.col("entity_id").alias("face_id"), F.explode(references(F.col("rhs"))).alias("bound"))
-    bounds = of("FACE_BOUND", "FACE_OUTER_BOUND").select("file_id", F.col("entity_id").alias("bound"), references(F.col("rhs"))[0].alias("loop_id"), ~F.col("rhs").rlike(r"\.F\.\s*$").alias("sense"))
+    bounds = of("FACE_BOUND", "FACE_OUTER_BOUND").select("file_id", F.col("entity_id").alias("bound"), references(F.col("rhs"))[0].alias("loop_id"), (~F.col("rhs").rlike(r"\.F\.\s*$")).alias("sense"))
     loops = faces.join(bounds, ["file_id", "bound"])
     poly = of("POLY_LOOP").select("file_id", F.col("entity_id").alias("loop_id"), references(F.col("rhs")).alias("p"))
     ring = F.transform("p", lambda x, i: F.struct(i.cast("long").alias("ord"), x.alias("u"), F.element_at("p", (i + 1) % F.size("p") + 1).alias("v")))
     from_points = poly.select("file_id", "loop_id", F.explode(ring).alias("e")).select("file_id", "loop_id", "e.*")
     curve = of("EDGE_CURVE").select("file_id", F.col("entity_id").alias("curve"), references(F.col("rhs"))[0].alias("a"), references(F.col("rhs"))[1].alias("b"))
-    oriented = of("ORIENTED_EDGE").select("file_id", F.col("entity_id").alias("oe"), F.element_at(references(F.col("rhs")), -1).alias("curve"), ~F.col("rhs").rlike(r"\.F\.\s*$").alias("forward"))
+    oriented = of("ORIENTED_EDGE").select("file_id", F.col("entity_id").alias("oe"), F.element_at(references(F.col("rhs")), -1).alias("curve"), (~F.col("rhs").rlike(r"\.F\.\s*$")).alias("forward"))
     edge_loops = of("EDGE_LOOP").select("file_id", F.col("entity_id").alias("loop_id"), F.posexplode(references(F.col("rhs"))).alias("ord", "oe"))
     from_edges = edge_loops.join(oriented, ["file_id", "oe"]).join(curve, ["file_id", "curve"]).select("file_id", "loop_id", F.col("ord").cast("long").alias("ord"), F.when(F.col("forward"), F.col("a")).otherwise(F.col("b")).alias("u"), F.when(F.col("forward"), F.col("b")).otherwise(F.col("a")).alias("v"))
     both = loops.join(from_points.unionByName(from_edges), ["file_id", "loop_id"])
