@@ -47,7 +47,7 @@ def audit(entities: DataFrame) -> DataFrame:
     """One row a file: vertices, edges, faces, Euler characteristic, open, non-manifold and inverted edges, watertight."""
     he = oriented_edges(entities).where("u <> v")
     e = he.groupBy("file_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("u") < F.col("v"), 1).otherwise(-1)).alias("o"))
-    g = e.groupBy("file_id").agg(F.count("*").alias("edges"), F.count_if("n = 1").alias("open_edges"), F.count_if("n > 2").alias("non_manifold_edges"), F.count_if("n = 2 AND o <> 0").alias("inverted_edges"))
+    g = e.groupBy("file_id").agg(F.count("*").alias("edges"), F.count_if(F.expr("n = 1")).alias("open_edges"), F.count_if(F.expr("n > 2")).alias("non_manifold_edges"), F.count_if(F.expr("n = 2 AND o <> 0")).alias("inverted_edges"))
     v = he.select("file_id", "u").distinct().groupBy("file_id").agg(F.count("*").alias("vertices"))
     loops = he.select("file_id", "face_id", "loop_id").distinct().groupBy("file_id").agg(F.countDistinct("face_id").alias("faces"), F.count("*").alias("loops"))
     out = g.join(v, "file_id").join(loops, "file_id")
