@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 BUCKET = 256
-_MARKS = r"^[ \t]*(>[ \t]*)+"
+_MARKS = r"^[ \t]*>[ \t>]*"
 
 
 def level(line: Column) -> Column:
