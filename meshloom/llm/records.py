@@ -27,11 +27,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, new_path, slices
+from .common import Spans, mapped, new_path, slices, text_bytes
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 CACHED_LENGTH = 200
 _HEAD = struct.Struct("<QI")
 _PAYLOAD = struct.Struct("<BqBI")
@@ -66,9 +66,24 @@ def frames(data: bytes | memoryview) -> Iterator[tuple[int, int, int | None, np.
         at += 17 + n
 
 
+_LETTER, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_PLAIN[9:14] = _PLAIN[32:127] = _PLAIN[0x80:0xC0] = _PLAIN[0xC3] = True
+_PLAIN[ord("'")] = False
+_SPACE = np.zeros(256, bool)
+_SPACE[9:14] = _SPACE[32] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that splits at white space and drops it: each word between spaces is encoded
-    once for a worker. Special tokens' strings in a text are ordinary text."""
+    """Ids of whole texts by a tokenizer that lowers case, drops white space and keeps runs of letters, single digits and
+    runs of other marks apart. Special tokens' strings in a text are ordinary text.
+
+    Texts of ASCII and Latin-1 letters without an apostrophe (which can split letters) are cut into these pieces here, on
+    the bytes of a whole slice; each different piece is encoded once for a worker, new runs of letters as one text in which
+    each is a word of the tokenizer's. Any other text goes to the tokenizer whole. Pieces are remembered by hash in two
+    generations, so that a full memory forgets the older half."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,19 +91,82 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.known: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+        words = [k for k, p in enumerate(pieces) if p.isalpha() and len(p) <= CACHED_LENGTH]
+        rest = sorted({*range(len(pieces))}.difference(words))
+        if words:
+            e = self.tok.encode(" ".join([pieces[k] for k in words]), add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            ends = (np.append(np.flatnonzero(np.diff(np.array(e.word_ids))) + 1, len(ids)) * 4).tolist()
+            if len(ends) != len(words):
+                rest, words, ends = list(range(len(pieces))), [], []
+            raw, at = ids.tobytes(), 0
+            for k, end in zip(words, ends, strict=True):
+                self.known[hashes[k]] = raw[at:end]
+                at = end
+        self.known.update(zip([hashes[k] for k in rest], self._batch([pieces[k] for k in rest]), strict=True))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, where each row's begin and one more at the end)."""
+        raw, ends = text_bytes(column)
+        rows = len(ends) - 1
+        odd = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(~_PLAIN[raw], out=odd[1:])
+        lead = np.append(raw == 0xC3, False)
+        follow = np.append((raw >= 0x80) & (raw < 0xC0), False)
+        # a continuation byte follows its lead, and U+00D7 and U+00F7 are no letters
+        wrong = np.zeros(len(raw) + 1, bool)
+        wrong[1:] |= lead[:-1] != follow[1:]
+        wrong[1:-1] |= lead[:-2] & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+        odd[1:] += np.cumsum(wrong[:-1], dtype=np.int32)
+        whole = np.flatnonzero(odd[ends[1:]] > odd[ends[:-1]])
+        low = raw + 32 * ((raw >= 65) & (raw <= 90)).astype(np.uint8)
+        low[1:][lead[:-2] & (raw[1:] < 0x9F)] += 32
+        kind = np.where(_LETTER[raw], 1, np.where(_SPACE[raw], 0, np.where(_DIGIT[raw], 2, 3))).astype(np.int8)
+        for k in whole.tolist():
+            kind[ends[k] : ends[k + 1]] = 0
+        new = kind == 2
+        new[1:] |= kind[1:] != kind[:-1]
+        new[ends[:-1][ends[:-1] < len(raw)]] = True
+        if len(new):
+            new[0] = True
+        cuts = np.append(np.flatnonzero(new), len(raw))
+        on = kind[cuts[:-1]] > 0
+        starts, stops = cuts[:-1][on], cuts[1:][on]
+        hashes, one, inverse = np.unique(Spans(low).of(starts, stops), return_index=True, return_inverse=True)
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known, long = self.known, {}
-        new = list({w for s in split for w in s if w not in known})
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (known if len(w) <= CACHED_LENGTH else long)[w] = np.array(e.ids, np.uint32).tobytes()
-        if long:
-            return [b"".join([known[w] if w in known else long[w] for w in s]) for s in split]
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+            self.known, self.old = {}, self.known
+        known, old, keys = self.known, self.old, hashes.tolist()
+        fresh = [k for k, h in enumerate(keys) if h not in known]
+        ask = []
+        for k in fresh:
+            if keys[k] in old:
+                known[keys[k]] = old[keys[k]]
+            else:
+                ask.append(k)
+        if ask:
+            data, a, b = low.tobytes(), starts[one].tolist(), stops[one].tolist()
+            self._learn([keys[k] for k in ask], [data[a[k] : b[k]].decode() for k in ask])
+        parts = [known[h] for h in keys]
+        size = np.array([len(p) >> 2 for p in parts], np.int64)
+        flat = np.frombuffer(b"".join(parts), np.uint32)
+        at = (np.cumsum(size) - size)[inverse]
+        n = size[inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(at - upto[:-1], n) + np.arange(upto[-1])]
+        row = upto[np.searchsorted(starts, ends)]
+        if len(whole):
+            text = column.take(pa.array(whole)).to_pylist()
+            extra = dict(zip(whole.tolist(), self._batch([t or "" for t in text]), strict=True))
+            pieces = [np.frombuffer(extra[k], np.uint32) if k in extra else ids[row[k] : row[k + 1]] for k in range(rows)]
+            ids, row = np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        return ids, row
 
 
 _HELD: dict[str, WordEncoder] = {}
@@ -104,10 +182,11 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _HELD:
             _HELD[tokenizer] = WordEncoder(tokenizer)
-        end = np.array([end_id], np.uint32).tobytes()
+        end = np.array([end_id], np.uint32)
         for batch in slices(batches, "text"):
-            ids = _HELD[tokenizer]([t or "" for t in batch.column("text").to_pylist()])
-            out = [frame(d, np.frombuffer(i + end, np.uint32)) for d, i in zip(batch.column("doc_id").to_pylist(), ids, strict=True)]
+            ids, row = _HELD[tokenizer](batch.column("text"))
+            row = row.tolist()
+            out = [frame(d, np.concatenate([ids[a:b], end])) for d, a, b in zip(batch.column("doc_id").to_pylist(), row, row[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     d = docs.select(F.col("doc_id").cast("long"), F.col("text"))
