@@ -45,7 +45,7 @@ def targets(cells: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 def rates(cells: DataFrame, goals: DataFrame, cap: float = 2.0, rounds: int = 60, close: float = 1e-9) -> DataFrame:
     """(source, size, n, source_size, target, rate): whole millionths for each cell, from the dual's solution."""
     mean = Window.partitionBy("source")
-    x = F.col("size") / (F.sum(F.col("size") * F.col("n")).over(mean) / F.sum("n").over(mean))
+    x = F.try_divide(F.col("size") * F.sum("n").over(mean), F.sum(F.col("size") * F.col("n")).over(mean))
     base = stored(cells.join(goals, F.col("cells.source").eqNullSafe(F.col("goals.source"))).select("cells.source", "size", "n", "source_size", "target").withColumn("x", x).withColumn("x", F.coalesce("x", F.lit(0.0))), "cells")
     # at rate cap everywhere the total is cap * size; a target there, or at 0, needs no finite multiplier
     state = stored(goals.select("source", "target", "source_size", F.lit(0.0).alias("lam"), F.lit(-64.0).alias("lo"), F.lit(4096.0).alias("hi"), F.lit(False).alias("done")), "multipliers")
@@ -62,7 +62,7 @@ def rates(cells: DataFrame, goals: DataFrame, cap: float = 2.0, rounds: int = 60
         done = (F.abs(off) <= close * F.greatest(F.col("source_size"), F.lit(1))) | (F.col("hi") - F.col("lo") < 1e-13 * F.greatest(F.lit(1.0), F.abs("lam")))
         lo = F.when(off < 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
-        step = F.col("lam") - off / F.col("slope")
+        step = F.col("lam") - F.try_divide(off, F.col("slope"))
         new = F.when(F.col("slope") > 0, F.when((step > lo) & (step < hi), step)).otherwise(None)
         moved = state.join(sums, F.col("source").eqNullSafe(F.col("s"))).withColumn("done", done).withColumn("lo2", lo).withColumn("hi2", hi).withColumn("new", F.coalesce(new, (F.col("lo2") + F.col("hi2")) / 2))
         state = stored(moved.select("source", "target", "source_size", F.when(F.col("done"), F.col("lam")).otherwise(F.col("new")).alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "done"), "multipliers")
