@@ -6,7 +6,9 @@
 2. Anchors are counted, with the least and the greatest hash of their cells' bytes. Where these agree, all cells of the
    anchor are copies, and all their windows repeat. Copies are settled there, by counts that combine before the shuffle.
 3. Of the other repeated anchors, one cell of each distinct content goes to the anchor's shard, where a suffix array
-   with common prefixes (`suffixes`) finds the windows that share `length` bytes with a neighbour. A shard holds many
+   with common prefixes (`suffixes`) finds the windows that share `length` bytes with a neighbour. Each window holds its
+   anchor with half of the remaining bytes to the left or to the right of it, so a cell whose two such strings (hashed
+   to 32 bits; a chance collision only sends a cell too many) are in no other content is left out. A shard holds many
    anchors; an anchor with many contents is split by blocks of offsets, between which no two windows can be equal.
 4. Intervals go back to their documents, which are cut once.
 """
@@ -32,9 +34,10 @@ CONTENTS = 256  # of one anchor in one shard, about
 
 
 def cells(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(first window, number of windows, anchor position, anchor hash, content hash) of each cell of rows of bytes."""
+    """(first window, number of windows, anchor position, anchor hash, content hash, left hash, right hash) of each cell of
+    rows of bytes. A side's hash is 0 where no window of the cell reaches so far."""
     n = len(raw)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int32),) * 2
     if n < length:
         return none
     padded = np.zeros(n + GRAM, np.uint64)
@@ -68,7 +71,11 @@ def cells(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.n
     first = np.flatnonzero(new)
     many = np.diff(np.append(first, len(window)))
     start, at = window[first], at[first]
-    return start, many, at, h[at], Spans(raw).of(start, start + many + length - 1)
+    spans, half = Spans(raw), (length - GRAM) // 2
+    left, right = at - half, at + GRAM + half
+    wide = (start <= left, start + many - 1 + length >= right)
+    side = lambda a, b, ok: np.where(ok, spans.of(np.where(ok, a, 0), np.where(ok, b, 0)) | np.uint64(1), np.uint64(0)).astype(np.uint32).view(np.int32)
+    return start, many, at, h[at], spans.of(start, start + many + length - 1), side(left, at + GRAM, wide[0]), side(at, right, wide[1])
 
 
 def _blocks(raw: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -87,13 +94,13 @@ def _find(length: int):
             raw, ends = text_bytes(batch.column("text"))
             found = []
             for part, bounds, at in _blocks(raw, ends, length):
-                s, m, a, h, c = cells(part, bounds, length)
-                found.append((s + at, m, a - s, h, c))
-            s, m, a, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
+                s, m, a, *hashes = cells(part, bounds, length)
+                found.append((s + at, m, a - s, *hashes))
+            s, m, a, h, c, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
             of = np.searchsorted(ends, s, side="right") - 1
             upto = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x)) for x in ((s - ends[of]).astype(np.int32), m.astype(np.int32), a.astype(np.int32), h.view(np.int64), c.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), *lists], names=["id", "fp", "start", "many", "at", "anchor", "content"])
+            lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x)) for x in ((s - ends[of]).astype(np.int32), m.astype(np.int32), a.astype(np.int32), h.view(np.int64), c.view(np.int64), left, right)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), *lists], names=["id", "fp", "start", "many", "at", "anchor", "content", "left", "right"])
 
     return kernel
 
@@ -232,18 +239,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY)
 
 def _judged(docs: DataFrame, length: int, memory: int) -> DataFrame:
     rows = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
-    found = stored(mapped(rows.select("id", "fp", "text"), _find(length), "id long, fp long, start array<int>, many array<int>, at array<int>, anchor array<long>, content array<long>"), "cells")
-    each = found.select("id", "fp", F.explode(F.arrays_zip("start", "many", "at", "anchor", "content")).alias("c")).select("id", "fp", "c.*")
+    found = stored(mapped(rows.select("id", "fp", "text"), _find(length), "id long, fp long, start array<int>, many array<int>, at array<int>, anchor array<long>, content array<long>, left array<int>, right array<int>"), "cells")
+    each = found.select("id", "fp", F.explode(F.arrays_zip("start", "many", "at", "anchor", "content", "left", "right")).alias("c")).select("id", "fp", "c.*")
     repeated = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("copies"))
     live = stored(each.join(repeated, "anchor"), "repeated")
     mixed_ = live.where("NOT copies")
-    contents = mixed_.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "start")).alias("one"))
-    anchors = contents.groupBy("anchor").agg(F.count("*").alias("k"))
-    contents = stored(contents.join(anchors, "anchor").withColumn("split", F.least(F.lit(64), F.ceil(F.col("k") / CONTENTS)).cast("int")), "contents")
+    contents = stored(mixed_.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "start")).alias("one"), F.min("left").alias("left"), F.min("right").alias("right")), "contents")
+    sides = contents.select("anchor", "content", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h")), F.struct(F.lit(1).alias("side"), F.col("right").alias("h")))).alias("s")).select("anchor", "content", "s.*").where("h <> 0")
+    shared = sides.groupBy("anchor", "side", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    wanted = sides.join(shared, ["anchor", "side", "h"], "left_semi").select("anchor", "content").distinct()
+    wanted = contents.join(wanted, ["anchor", "content"])
+    split = wanted.groupBy("anchor").agg(F.least(F.lit(64), F.ceil(F.count("*") / CONTENTS)).cast("int").alias("split"))
     settled = live.where("copies").select("id", "fp", "start", "many").unionAll(
         mixed_.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("id", "fp", "start", "many")
     )
-    a = contents.select("anchor", "content", "n", "split", F.col("one.id").alias("id"), F.col("one.fp").alias("fp"), F.col("one.start").alias("start"))
+    a = wanted.join(split, "anchor").select("anchor", "content", "n", "split", F.col("one.id").alias("id"), F.col("one.fp").alias("fp"), F.col("one.start").alias("start"))
     asked = mixed_.join(a, ["anchor", "content", "id", "fp", "start"]).select("id", "fp", F.struct("start", "many", "at", "anchor", "split", (F.col("n") == 1).alias("need")).alias("x"))
     per = settled.select("id", "fp", F.struct("start", (F.col("start") + F.col("many") + F.lit(length - 1)).alias("stop")).alias("s"), F.lit(None).cast(asked.schema["x"].dataType).alias("x"))
     per = per.unionAll(asked.select("id", "fp", F.lit(None).cast(per.schema["s"].dataType), "x")).groupBy("id", "fp").agg(
