@@ -425,3 +425,141 @@ def smallest_enclosing(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 100.0).alias("hi"))
     box = lambda df, pad: df.select("k", "id", (F.lit(1100.0)).alias("size"), *[(F.col("lo") - pad).alias(f"min_{a}") for a in "xyz"], *[(F.col("hi") + pad).alias(f"max_{a}") for a in "xyz"])
     return matching.smallest_enclosing(box(c, 0.0), box(c.where("id % 3 = 0"), 500.0), ["k"])
+
+
+# -- features, files and verification of the procedural meshes ----------------------------------------
+
+_TRI = "mesh_id IN ('unit_cube', 'labyrinth', 'open_box', 'hinge')"
+
+
+@query("SELECT * FROM (VALUES ('prismatic_m6', 5.0e0, 20e0, 'M6x1.0', 1e0, 0e0)) t(mesh_id, diameter, depth, designation, pitch, score)")
+def detect_threads(spark, sf_dir):
+    """Bores of the procedural meshes, found by segmentation, and the threads that fit them."""
+    from meshloom.plans import api
+
+    return api.detect_threads(*procedural.tables(spark)).select("mesh_id", "diameter", "depth", "designation", "pitch", r6(F.col("score")).alias("score"))
+
+
+@query("SELECT * FROM (VALUES ('hinge', 'plane', 8::BIGINT), ('labyrinth', 'plane', 12), ('open_box', 'plane', 5), ('prismatic_m6', 'plane', 6), ('prismatic_m6', 'cylinder', 1), ('unit_cube', 'plane', 6)) t(mesh_id, type, n)")
+def segment_surfaces(spark, sf_dir):
+    from meshloom.operators import kernels
+
+    s = kernels.surfaces(kernels.segment(topology.facets(*procedural.tables(spark)).where("mesh_id <> 'saddle'")))
+    return s.groupBy("mesh_id", "type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT m AS mesh_id, g AS gate, CASE WHEN m = 'open_box' AND g = 'intake' THEN 'warning' WHEN m = 'open_box' AND g = 'solid' THEN 'failed' ELSE 'passed' END AS status
+    FROM (VALUES ('unit_cube'), ('labyrinth'), ('open_box'), ('hinge')) a(m), (VALUES ('intake'), ('segmentation'), ('kinematics'), ('solid'), ('differential')) b(g)""")
+def verify_gates(spark, sf_dir):
+    from meshloom.plans import api
+
+    return api.verify_meshes(*meshes(spark), 200).select("mesh_id", "gate", "status")
+
+
+@query(_MESH + _HALF + """ SELECT t.mesh_id AS file_id, count(DISTINCT t.vid) AS vertices, any_value(e.n) AS edges, any_value(f.n) AS faces, any_value(e.open) AS open_edges, any_value(e.open) = 0 AS watertight
+    FROM vertex t JOIN (SELECT mesh_id, count(*) AS n, count(*) FILTER (degree = 1) AS open FROM edge GROUP BY 1) e USING (mesh_id) JOIN (SELECT mesh_id, count(*) AS n FROM triangle GROUP BY 1) f USING (mesh_id) GROUP BY 1""")
+def step_audit(spark, sf_dir):
+    """Exchange files of the meshes, written, parsed and audited."""
+    from meshloom.sources import step
+
+    v, t = meshes(spark)
+    text_ = step.faceted_solids(v, t, topology.shell_labels(t)).withColumnRenamed("mesh_id", "file_id")
+    return step.audit(step.parse(text_)).select("file_id", "vertices", "edges", "faces", "open_edges", "watertight")
+
+
+@query(_FACET + " SELECT mesh_id, tri, x0, y1, z2 FROM facet")
+def stl_round_trip(spark, sf_dir):
+    """Meshes as binary STL bytes, read back."""
+    from meshloom.sources import stl
+
+    back = stl.parse_files(stl.encoded(topology.facets(*meshes(spark))).withColumnRenamed("mesh_id", "path"))
+    return back.select("mesh_id", "tri", *[F.col(c).cast("double").alias(c) for c in ("x0", "y1", "z2")])
+
+
+@query("SELECT 'open_box' AS mesh_id, 0::BIGINT AS loop_id, 4::BIGINT AS n, true AS closed")
+def boundary_loops(spark, sf_dir):
+    from meshloom.operators import kernels
+
+    loop = kernels.loops(topology.boundary_half_edges(meshes(spark)[1]))
+    return loop.groupBy("mesh_id", "loop_id").agg(F.count("*").alias("n"), F.bool_and("closed").alias("closed"))
+
+
+@query()
+def simplify_meshes(spark, sf_dir):
+    """Edge collapse of the saddle; sequential within a mesh, so no SQL."""
+    from meshloom.operators import kernels
+
+    return kernels.simplify(topology.facets(*procedural.tables(spark)).where("mesh_id = 'saddle'"), 0.5)
+
+
+@query()
+def surface_samples(spark, sf_dir):
+    """Area-weighted samples of each mesh with their deviation from the surfaces found."""
+    from meshloom.operators import kernels, verify
+
+    f = topology.facets(*procedural.tables(spark))
+    seg = kernels.segment(f)
+    return verify.residuals(verify.samples(f, 300), kernels.surfaces(seg), seg.where("error IS NULL").select("mesh_id", "surface_id", "tri"))
+
+
+@query(_FACET + ", n AS (SELECT mesh_id, count(*) AS total FROM triangle GROUP BY 1) SELECT mesh_id, 200::BIGINT AS n FROM n")
+def sample_counts(spark, sf_dir):
+    from meshloom.operators import verify
+
+    return verify.samples(topology.facets(*meshes(spark)), 200).groupBy("mesh_id").agg(F.count("*").alias("n"))
+
+
+@query(_MESH + _HALF + " SELECT e.mesh_id, e.a, e.b, p.x AS x0, q.x AS x1 FROM edge e JOIN vertex p ON p.mesh_id = e.mesh_id AND p.vid = e.a JOIN vertex q ON q.mesh_id = e.mesh_id AND q.vid = e.b")
+def wireframe_edges(spark, sf_dir):
+    v, t = meshes(spark)
+    e = topology.edges(t).select("mesh_id", "a", "b")
+    end = lambda k, n: v.select("mesh_id", F.col("vid").alias(k), F.col("x").cast("double").alias(n))
+    return e.join(end("a", "x0"), ["mesh_id", "a"]).join(end("b", "x1"), ["mesh_id", "b"]).select("mesh_id", "a", "b", "x0", "x1")
+
+
+@query(_FACET + _HALF + """, n AS (SELECT mesh_id, tri, ((y1-y0)*(z2-z0)-(z1-z0)*(y2-y0))/(2*area) AS nx, ((z1-z0)*(x2-x0)-(x1-x0)*(z2-z0))/(2*area) AS ny, ((x1-x0)*(y2-y0)-(y1-y0)*(x2-x0))/(2*area) AS nz FROM measured),
+    f AS (SELECT h.mesh_id, least(u, v) AS a, greatest(u, v) AS b, count(*) AS k, arg_min(n.nx, h.tri)*arg_max(n.nx, h.tri) + arg_min(n.ny, h.tri)*arg_max(n.ny, h.tri) + arg_min(n.nz, h.tri)*arg_max(n.nz, h.tri) AS fold FROM half h JOIN n USING (mesh_id, tri) GROUP BY ALL)
+    SELECT DISTINCT mesh_id, unnest([a, b]) AS vid FROM f WHERE k <> 2 OR fold < cos(radians(30))""")
+def feature_shield(spark, sf_dir):
+    return topology.shielded(topology.facets(*meshes(spark)))
+
+
+@query(_FACET + ", s AS (SELECT mesh_id, sum(vol) AS v FROM measured GROUP BY 1) SELECT mesh_id, floor(abs(v) / 1000 * 7.98e0 * 1e4 + 0.5) / 1e4 AS mass_g, false AS transparent FROM s WHERE mesh_id IN ('unit_cube', 'open_box')")
+def mass_by_material(spark, sf_dir):
+    from meshloom.operators.reports import mass_rollup
+
+    s = topology.shells(topology.facets(*meshes(spark)).where("mesh_id IN ('unit_cube', 'open_box')"))
+    return mass_rollup(s.withColumn("material_id", F.lit("steel")), catalogs.materials(spark))
+
+
+@query("SELECT c_nationkey AS mesh_id, min(c_acctbal / 1000 + 1) <= 2.5 AS fine, CASE WHEN min(c_acctbal / 1000 + 1) <= 2.5 THEN 0.25e0 ELSE 0.40e0 END AS nozzle, CASE WHEN min(c_acctbal / 1000 + 1) <= 2.5 THEN 0.12e0 WHEN min(c_acctbal / 1000 + 1) <= 4.0 THEN 0.16e0 ELSE 0.20e0 END AS layer FROM customer GROUP BY 1")
+def manufacturing_notes(spark, sf_dir):
+    """Account balances in thousands, plus one, as hole diameters of a nation's mesh."""
+    from meshloom.operators.reports import notes
+
+    h = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("mesh_id"), (F.col("c_acctbal") / F.lit(1000.0) + 1.0).alias("diameter"), F.lit(None).cast("string").alias("designation"))
+    return notes(h).select("mesh_id", (F.col("nozzle") < 0.3).alias("fine"), F.col("nozzle").cast("double").alias("nozzle"), F.col("layer").cast("double").alias("layer"))
+
+
+_CYL = """cyl(mesh_id, id, shell_id, is_internal, x, y, z, ax, ay, az, radius, lo, hi) AS (VALUES ('m', 's', 0, true, 0e0, 0e0, 0e0, 0e0, 0e0, 1e0, 5.5e0, 0e0, 20e0), ('m', 'p', 1, false, 0.25e0, 0e0, 0e0, 0e0, 0e0, 1e0, 5e0, 5e0, 30e0), ('m', 'far', 2, false, 9e0, 0e0, 0e0, 0e0, 0e0, 1e0, 5e0, 5e0, 30e0), ('m', 'own', 0, false, 0e0, 0e0, 0e0, 0e0, 0e0, 1e0, 5e0, 5e0, 30e0), ('m', 'tight', 3, false, 0e0, 0e0, 0e0, 0e0, 0e0, 1e0, 5.45e0, 5e0, 30e0))"""
+
+
+@query(f"WITH {_CYL} SELECT s.mesh_id, s.id AS socket, p.id AS pin, s.radius - p.radius AS clearance, least(s.hi, p.hi) - greatest(s.lo, p.lo) AS overlap FROM cyl s JOIN cyl p USING (mesh_id) WHERE s.is_internal AND NOT p.is_internal AND s.shell_id <> p.shell_id AND s.radius - p.radius BETWEEN 0.12e0 AND 2e0 AND sqrt(power(s.x - p.x, 2) + power(s.y - p.y, 2)) <= 0.65e0 AND least(s.hi, p.hi) > greatest(s.lo, p.lo)")
+def revolute_joints(spark, sf_dir):
+    rows = [("m", "s", 0, True, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 5.5, 0.0, 20.0), ("m", "p", 1, False, 0.25, 0.0, 0.0, 0.0, 0.0, 1.0, 5.0, 5.0, 30.0), ("m", "far", 2, False, 9.0, 0.0, 0.0, 0.0, 0.0, 1.0, 5.0, 5.0, 30.0), ("m", "own", 0, False, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 5.0, 5.0, 30.0), ("m", "tight", 3, False, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 5.45, 5.0, 30.0)]
+    c = spark.createDataFrame(rows, "mesh_id string, id string, shell_id int, is_internal boolean, x double, y double, z double, ax double, ay double, az double, radius double, lo double, hi double")
+    return matching.revolute_pairs(c)
+
+
+@query(f"WITH {_PTS} SELECT id, CASE WHEN x >= 0.25e0 THEN '+X' WHEN x <= -0.25e0 THEN '-X' WHEN y >= 0.25e0 THEN '+Y' WHEN y <= -0.25e0 THEN '-Y' WHEN z >= 0.25e0 THEN '+Z' WHEN z <= -0.25e0 THEN '-Z' END AS axis FROM pts WHERE (abs(x) >= 0.25e0)::INT + (abs(y) >= 0.25e0)::INT + (abs(z) >= 0.25e0)::INT <= 1")
+def axis_snap(spark, sf_dir):
+    p = points(spark, sf_dir)
+    one = sum(((F.abs(F.col(c)) >= 0.25).cast("int") for c in "xyz"), F.lit(0)) <= 1
+    return p.where(one).select("id", geometry.snapped_axis(geometry.vec("x", "y", "z"), 0.25).alias("axis"))
+
+
+@query("SELECT k.nation, k.kept FROM (SELECT c_nationkey AS nation, count(*) AS kept FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey) AS m, max((n >= 8 AND (n >= 30 OR v >= 1))::INT) OVER (PARTITION BY c_nationkey) AS any_kept FROM (SELECT c_nationkey, c_custkey, c_custkey % 40 AS n, abs(c_acctbal / 1000) AS v FROM customer)) WHERE m = 1 OR (n >= 8 AND (n >= 30 OR v >= 1)) OR any_kept = 0 GROUP BY 1) k")
+def debris_filter(spark, sf_dir):
+    """Customers as the shells of a nation's mesh."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("mesh_id"), (F.col("c_custkey") % 40).alias("n_tri"), (F.col("c_acctbal") / F.lit(1000.0)).alias("signed_volume"))
+    return topology.debris_free(c).groupBy(F.col("mesh_id").alias("nation")).agg(F.count("*").alias("kept"))

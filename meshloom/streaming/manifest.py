@@ -44,7 +44,7 @@ def drop_folder(spark, folder: str, out: str, checkpoint: str) -> StreamingQuery
 
     def one(batch: DataFrame, _: int) -> None:
         facets = parse_files(batch)
-        good = facets.groupBy("mesh_id").agg(F.count_if("tri IS NOT NULL").alias("triangles"), F.max("error").alias("error"))
+        good = facets.groupBy("mesh_id").agg(F.count("tri").alias("triangles"), F.max("error").alias("error"))
         rows = good.select(F.col("mesh_id").alias("file_path"), F.col("error").isNull().alias("success"), F.lit(0).cast("long").alias("elapsed_ms"), "triangles", F.lit(None).cast("string").alias("step_path"), "error", F.current_timestamp().alias("ts"))
         append(rows, out)
 
