@@ -12,10 +12,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, slices
+from .common import held, mapped, slices
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-CACHED_UNITS = 400_000
+CACHED_UNITS = 250_000
 CACHED_LENGTH = 200
 
 
@@ -99,16 +99,6 @@ class Encoder:
         return out
 
 
-_HELD: dict[tuple[str, str], object] = {}
-
-
-def _held(kind: type, path: str):
-    """One encoder or decoder for each worker process."""
-    if (kind.__name__, path) not in _HELD:
-        _HELD[kind.__name__, path] = kind(path)
-    return _HELD[kind.__name__, path]
-
-
 class Decoder:
     """Bytes of ids, through the byte table in reverse."""
 
@@ -137,7 +127,7 @@ def encoded(docs: DataFrame, path: str = RANKS, id_column: str = "doc_id", text_
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _held(Encoder, path)
+        encode = held(Encoder, path)
         if offsets:
             size = np.zeros(max(encode.ranks.values(), default=0) + 1, np.int64)
             size[list(encode.ranks.values())] = [len(t) for t in encode.ranks]
@@ -169,7 +159,7 @@ def decoded(tokens: DataFrame, path: str = RANKS) -> DataFrame:
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _held(Decoder, path)
+        decode = held(Decoder, path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

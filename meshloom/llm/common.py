@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,7 +90,37 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
+    """df through a kernel. A worker process that goes over to another operator first gives back what the last one held."""
+    owner = kernel.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter(owner)
+        yield from kernel(batches)
+
+    return df.mapInArrow(run, schema)
+
+
+_HELD: dict[tuple, object] = {}
+_OWNER = [""]
+
+
+def held(kind: type, *args: object) -> object:
+    """kind(*args), once for a worker process, until another operator's kernel runs there."""
+    if (kind, args) not in _HELD:
+        _HELD[kind, args] = kind(*args)
+    return _HELD[kind, args]
+
+
+def _enter(owner: str) -> None:
+    if _OWNER[0] == owner:
+        return
+    _OWNER[0] = owner
+    _HELD.clear()
+    Spans._up = Spans._down = np.ones(1, np.uint64)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 # -- hashing ------------------------------------------------------------------------------------

@@ -27,11 +27,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Spans, mapped, new_path, slices, text_bytes
+from .common import Spans, held, mapped, new_path, slices, text_bytes
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 CACHED_LENGTH = 200
 _HEAD = struct.Struct("<QI")
 _PAYLOAD = struct.Struct("<BqBI")
@@ -169,9 +169,6 @@ class WordEncoder:
         return ids, row
 
 
-_HELD: dict[str, WordEncoder] = {}
-
-
 def write_records(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, files: int | None = None) -> None:
     """Writes docs (doc_id, text; a null text is empty) to `path`/data in ascending doc_id order and `path`/index.
 
@@ -180,11 +177,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _HELD:
-            _HELD[tokenizer] = WordEncoder(tokenizer)
+        encode = held(WordEncoder, tokenizer)
         end = np.array([end_id], np.uint32)
         for batch in slices(batches, "text"):
-            ids, row = _HELD[tokenizer](batch.column("text"))
+            ids, row = encode(batch.column("text"))
             row = row.tolist()
             out = [frame(d, np.concatenate([ids[a:b], end])) for d, a, b in zip(batch.column("doc_id").to_pylist(), row, row[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
