@@ -119,13 +119,7 @@ def _lists(parts: list[bytes], kind: pa.DataType = pa.int32()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(kind, len(raw) // 4, [None, pa.py_buffer(raw)]))
 
 
-def encoded(docs: DataFrame, path: str = RANKS, id_column: str = "doc_id", text_column: str = "text", offsets: bool = False) -> DataFrame:
-    """(doc_id, ids) for each row, ids an array of int; a null text has none.
-
-    With offsets also, for each token: byte_start, byte_end, and char_start, char_end, the characters it has bytes of. A
-    character that is split over tokens belongs to each of them.
-    """
-
+def _encode(path: str, offsets: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = held(Encoder, path)
         if offsets:
@@ -147,8 +141,36 @@ def encoded(docs: DataFrame, path: str = RANKS, id_column: str = "doc_id", text_
                 cols += [_lists(s) for s in spans]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "byte_start", "byte_end", "char_start", "char_end"][: len(cols)])
 
+    return kernel
+
+
+def _decode(path: str, text: bool):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = held(Decoder, path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = [None if i is None else decode(i) for i in part.column("ids").to_pylist()]
+                cols = [part.column("doc_id"), part.column("ids"), pa.array(raw, pa.binary())]
+                if text:
+                    cols.append(pa.array([None if r is None else r.decode("utf-8", "replace") for r in raw], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "raw", "text"][: len(cols)])
+
+    return kernel
+
+
+def _texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+
+
+def encoded(docs: DataFrame, path: str = RANKS, id_column: str = "doc_id", text_column: str = "text", offsets: bool = False) -> DataFrame:
+    """(doc_id, ids) for each row, ids an array of int; a null text has none.
+
+    With offsets also, for each token: byte_start, byte_end, and char_start, char_end, the characters it has bytes of. A
+    character that is split over tokens belongs to each of them.
+    """
     schema = "doc_id long, ids array<int>" + ", byte_start array<int>, byte_end array<int>, char_start array<int>, char_end array<int>" * offsets
-    return mapped(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), kernel, schema)
+    return mapped(_texts(docs, id_column, text_column), _encode(path, offsets), schema)
 
 
 def decoded(tokens: DataFrame, path: str = RANKS) -> DataFrame:
@@ -157,22 +179,22 @@ def decoded(tokens: DataFrame, path: str = RANKS) -> DataFrame:
     Bytes are joined before they are read as UTF-8, so characters that tokens split come whole; ids that end within a
     character leave U+FFFD in text, and raw keeps their bytes. Null ids give null.
     """
+    return mapped(tokens.select("doc_id", "ids"), _decode(path, True), "doc_id long, ids array<int>, raw binary, text string")
+
+
+def round_trip(docs: DataFrame, path: str = RANKS) -> DataFrame:
+    """(doc_id, ids, raw) for each row: encoded, and decoded again from the ids, in one pass of one worker."""
+    encode, decode = _encode(path, False), _decode(path, False)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = held(Decoder, path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = [None if i is None else decode(i) for i in part.column("ids").to_pylist()]
-                text = [None if r is None else r.decode("utf-8", "replace") for r in raw]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(raw, pa.binary()), pa.array(text, pa.string())], names=["doc_id", "ids", "raw", "text"])
+        return decode(encode(batches))
 
-    return mapped(tokens.select("doc_id", "ids"), kernel, "doc_id long, ids array<int>, raw binary, text string")
+    return mapped(_texts(docs), kernel, "doc_id long, ids array<int>, raw binary")
 
 
 def _digests(docs: DataFrame) -> DataFrame:
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return decoded(encoded(docs)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("raw"), 256).alias("decoded_sha256"))
+    return round_trip(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("raw"), 256).alias("decoded_sha256"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
