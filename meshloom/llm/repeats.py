@@ -241,7 +241,8 @@ def _judged(docs: DataFrame, length: int, memory: int) -> DataFrame:
     rows = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
     found = stored(mapped(rows.select("id", "fp", "text"), _find(length), "id long, fp long, start array<int>, many array<int>, at array<int>, anchor array<long>, content array<long>, left array<int>, right array<int>"), "cells")
     each = found.select("id", "fp", F.explode(F.arrays_zip("start", "many", "at", "anchor", "content", "left", "right")).alias("c")).select("id", "fp", "c.*")
-    repeated = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("copies"))
+    # written before the join, so that its two sides are plain shuffles, which Spark can split at a hot anchor
+    repeated = stored(each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("copies")), "anchors")
     live = stored(each.join(repeated, "anchor"), "repeated")
     mixed_ = live.where("NOT copies")
     contents = stored(mixed_.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "start")).alias("one"), F.min("left").alias("left"), F.min("right").alias("right")), "contents")
