@@ -11,14 +11,14 @@ from .common import stored
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the least of u and its neighbours."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     told = down.join(least, "u")
     return told.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
 
@@ -28,7 +28,8 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
 
     edges: two columns of one orderable type; loops, repeats, either direction and nulls are allowed (a row with
     a null names no edge). The minima combine before they are shuffled, and a hub's rows join against one row, so
-    no task needs a hub's whole neighbourhood in memory. Each pass is written to the shared folder, and passes go on
+    no task needs a hub's whole neighbourhood in memory. The minima are written before the join, whose two sides
+    then are plain shuffles, which Spark can split at a hub. Each pass is written to the shared folder, and passes go on
     until a pair of them changes nothing.
     """
     named = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")

@@ -228,20 +228,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> Dat
         signed.where("fp1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select("fp1", "fp2", "n_shingles", "r.*"),
         "classes",
     )
-    buckets = (
+    # tables that are joined on a key that can be hot are written first: Spark splits joins of two plain shuffles only
+    buckets = stored(
         classes.select("doc_id", F.explode("bands").alias("key"))
         .groupBy("key")
         .agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who"))
         .where("n > 1")
         .groupBy("n", "who")  # buckets of the same members, under whichever band, count once
         .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("n") / BLOCK).alias("chunks"))
+        .select("key", F.ceil(F.col("n") / BLOCK).alias("chunks")),
+        "buckets",
     )
     members = classes.select("doc_id", "sig", F.explode("bands").alias("key")).join(buckets, "key")
     agreeing = mapped(gathered(paired(members), ["key", "pair"]), _agreeing(int(0.70 * MINIMA)), "u long, v long")
     groups = stored(components(agreeing).withColumnRenamed("component", "key"), "groups")
     sizes = groups.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    wanted = groups.join(sizes.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("chunks")), "key")
+    wanted = groups.join(stored(sizes.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("chunks")), "chunks"), "key")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id")
     sets = mapped(texts, _sets(shingle), "doc_id long, key long, chunks long, shingles binary")
     links = mapped(gathered(paired(sets), ["key", "pair"]), _linked(percent), "u long, v long")
