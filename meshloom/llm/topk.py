@@ -4,8 +4,9 @@ Candidates are dealt to blocks, each with one sorted list for each dimension. A
 step, each from the end where its own weight makes the contribution largest; what it meets is scored in full (random
 access). The bound, the score of a row that stood at the current depth of every list, limits what is still unseen; a
 query stops when the bound is below its k-th score, and strictly so, since an unseen row could win a tie by its smaller
-id. Queries of a block go together, so that the scores of a round are one product. The block's k best then meet in one
-ranking for each query.
+id. Queries of a block go together, so that the scores of a round are one product; once the bounds tell that the lists
+must be read so far that they name as many entries as the block has rows, all rows are scored. The block's k best then
+meet in one ranking for each query.
 """
 
 from __future__ import annotations
@@ -32,37 +33,41 @@ def threshold_search(v: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndar
     ascending = np.take_along_axis(v, order, axis=0)
     depth_of = np.zeros(len(q), np.int64)
     out_q, out_c, out_s = [], [], []
-    by_id = np.argsort(ids, kind="stable")
     for at in range(0, len(q), 128):
         live = np.arange(at, min(at + 128, len(q)))
+        up, down = np.maximum(q[live], 0), np.minimum(q[live], 0)
+        bound = lambda d: up @ ascending[m - d] + down @ ascending[d - 1]  # noqa: B023, E731
         seen = np.zeros((len(live), m), bool)
         scores = np.full((len(live), m), -np.inf)
-        at_depth, depth = 0, 32
+        at_depth, depth = 0, min(32, m)
         while len(live):
-            depth = min(depth, m)
-            for d in range(dims):
-                for rows, part in ((np.flatnonzero(q[live, d] > 0), order[m - depth : m - at_depth, d]), (np.flatnonzero(q[live, d] < 0), order[at_depth:depth, d])):
-                    if len(rows):
-                        seen[rows[:, None], part[None, :]] = True
-            if depth == m:
-                seen[:] = True  # a query of zeros has no list to go down
-            met = np.flatnonzero((seen & np.isneginf(scores)).any(axis=0))
-            scores[:, met] = np.where(seen[:, met], q[live] @ v[met].T, -np.inf)
+            if depth < m:
+                for d in range(dims):
+                    for rows, part in ((np.flatnonzero(q[live, d] > 0), order[m - depth : m - at_depth, d]), (np.flatnonzero(q[live, d] < 0), order[at_depth:depth, d])):
+                        if len(rows):
+                            seen[rows[:, None], part[None, :]] = True
+                met = np.flatnonzero((seen & np.isneginf(scores)).any(axis=0))
+                scores[:, met] = np.where(seen[:, met], q[live] @ v[met].T, -np.inf)
+            else:
+                scores = q[live] @ v.T
             scores[own[live][:, None] == ids[None, :]] = -np.inf
-            bound = np.maximum(q[live], 0) @ ascending[m - depth] + np.minimum(q[live], 0) @ ascending[depth - 1]
             kth = np.partition(scores, m - k, axis=1)[:, m - k] if m >= k else np.full(len(live), -np.inf)
-            done = (depth == m) | (bound < kth)
+            done = (depth == m) | (bound(depth) < kth)
             for r in np.flatnonzero(done):
                 s = scores[r]
-                least = kth[r] if np.isfinite(kth[r]) else -np.inf
-                found = by_id[(s[by_id] >= least) & np.isfinite(s[by_id])]
-                found = found[np.argsort(-s[found], kind="stable")[:k]]
+                found = np.flatnonzero(s >= kth[r]) if np.isfinite(kth[r]) else np.flatnonzero(np.isfinite(s))
+                found = found[np.lexsort((ids[found], -s[found]))[:k]]
                 out_q.append(np.full(len(found), live[r]))
                 out_c.append(found)
                 out_s.append(s[found])
                 depth_of[live[r]] = depth
-            live, seen, scores = live[~done], seen[~done], scores[~done]
-            at_depth, depth = depth, depth * 4
+            live, seen, scores, up, down, kth = (x[~done] for x in (live, seen, scores, up, down, kth))
+            # the next depth is where every query left stops at the latest, since k-th scores only grow; lists that hold
+            # as many entries down to there as the block has rows are taken as a whole
+            at_depth, depth = depth, 2 * depth
+            while depth < m and not (bound(depth) < kth).all():
+                depth *= 2
+            depth = m if depth * dims >= m else depth
     whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
     return whole(out_q, np.int64), whole(out_c, np.int64), whole(out_s, np.int64), depth_of
 
