@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.functions import catalogs, geometry, text
-from meshloom.operators import matching, spatial, topology
+from meshloom.operators import matching, polygons, spatial, topology
 from meshloom.sources import procedural
 
 QUERIES: dict = {}
@@ -563,3 +563,43 @@ def debris_filter(spark, sf_dir):
     """Customers as the shells of a nation's mesh."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("mesh_id"), (F.col("c_custkey") % 40).alias("n_tri"), (F.col("c_acctbal") / F.lit(1000.0)).alias("signed_volume"))
     return topology.debris_free(c).groupBy(F.col("mesh_id").alias("nation")).agg(F.count("*").alias("kept"))
+
+
+# -- plane polygons: parts as squares, their sizes as half sides --------------------------------------------
+
+_SQUARE = "loops AS (SELECT p_brand AS g, p_partkey AS loop_id, o.i AS ord, p_size * o.dx + 0e0 AS x, p_size * o.dy + 0e0 AS y FROM (SELECT p_brand, min(p_partkey) AS p_partkey, p_size FROM part GROUP BY p_brand, p_size) p, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 0), (3, 1, 1), (4, -1, 1)) o(i, dx, dy))"
+
+
+def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One square for each size of a brand, about one centre, with a vertex in the middle of a side."""
+    p = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("loop_id"))
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("dx"), F.lit(b).alias("dy")) for i, a, b in ((0, -1, -1), (1, 1, -1), (2, 1, 0), (3, 1, 1), (4, -1, 1))]))
+    return p.withColumn("o", corner).select(F.col("p_brand").alias("g"), "loop_id", "o.ord", (F.col("p_size") * F.col("o.dx") + F.lit(0.0)).alias("x"), (F.col("p_size") * F.col("o.dy") + F.lit(0.0)).alias("y"))
+
+
+@query(f"WITH {_SQUARE} SELECT g, loop_id, power(max(x) - min(x), 2) AS area FROM loops GROUP BY ALL")
+def polygon_areas(spark, sf_dir):
+    return polygons.areas(squares(spark, sf_dir), ["g"]).select("g", "loop_id", "area")
+
+
+@query(f"WITH {_SQUARE}, s AS (SELECT g, loop_id, max(x) AS h FROM loops GROUP BY ALL) SELECT g, loop_id, lead(loop_id) OVER (PARTITION BY g ORDER BY h) AS parent, count(*) OVER (PARTITION BY g) - row_number() OVER (PARTITION BY g ORDER BY h) AS depth FROM s")
+def containment_forest(spark, sf_dir):
+    return polygons.forest(squares(spark, sf_dir), ["g"])
+
+
+@query(f"WITH {_SQUARE} SELECT DISTINCT g, loop_id, 0::BIGINT AS n FROM loops")
+def polygon_crossings(spark, sf_dir):
+    return polygons.crossings(squares(spark, sf_dir), ["g"])
+
+
+@query(f"WITH {_SQUARE} SELECT g, loop_id, ord::BIGINT AS ord FROM loops WHERE ord <> 2")
+def collinear_vertices(spark, sf_dir):
+    return polygons.straightened(squares(spark, sf_dir), ["g"]).select("g", "loop_id", F.col("ord").cast("long").alias("ord"))
+
+
+@query(f"WITH {_PTS} SELECT id, floor(CASE WHEN x BETWEEN 0 AND 1 AND y BETWEEN 0 AND x THEN abs(z) WHEN y < 0 AND x BETWEEN 0 AND 1 THEN sqrt(y*y + z*z) END * 1e6 + 0.5) / 1e6 AS distance FROM pts WHERE x BETWEEN 0 AND 1 AND y <= x AND y <= 1")
+def triangle_distances(spark, sf_dir):
+    """Points over the triangle (0,0) (1,0) (1,1) and beside its first side."""
+    p = points(spark, sf_dir).where("x BETWEEN 0 AND 1 AND y <= x AND y <= 1")
+    t = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "z0", "x1", "y1", "z1", "x2", "y2", "z2"), (0, 0, 0, 1, 0, 0, 1, 1, 0), strict=True)])
+    return p.select("id", r6(polygons.triangle_distance(F.struct("x", "y", "z"), t)).alias("distance"))

@@ -180,3 +180,27 @@ def test_convert_writes_files(spark, mesh, tmp_path):
 def test_replicated_load(spark):
     v, t = procedural.replicated(*procedural.tables(spark, {"c": procedural.box(1, 1, 1)}), 50)
     assert topology.edge_audit(t).where("open_edges = 0 AND n_edges = 18").count() == 50
+
+
+def test_material_spec():
+    from meshloom.operators.polygons import material_spec
+
+    assert list(material_spec("0=steel,1=,,,2=pom,=glass")) == [("index", "0", 0, "steel"), ("index", "2", 4, "pom")]
+    assert list(material_spec("auto")) == [] and list(material_spec("steel")) == [("all", "", 0, "steel")]
+    assert list(material_spec("steel,,pom,cover=abs")) == [("index", "0", 0, "steel"), ("index", "2", 2, "pom"), ("role", "cover", 3, "abs")]
+
+
+def test_crossed_polygon(spark):
+    from meshloom.operators import polygons
+
+    rows = [(1, 1, k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (2, 2), (2, 0), (0, 2)])] + [(1, 2, k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (2, 0), (2, 2), (0, 2)])]
+    got = {r.loop_id: r.n for r in polygons.crossings(spark.createDataFrame(rows, "g long, loop_id long, ord long, x double, y double"), ["g"]).collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_distance_from_a_triangle():
+    from meshloom.operators.polygons import triangle_distances
+
+    t = np.array([[[0, 0, 0], [1, 0, 0], [0, 1, 0]]] * 5, float)
+    p = np.array([[0.2, 0.2, 3], [-3, -4, 0], [0.5, -2, 0], [2, 0, 0], [1, 1, 0]], float)
+    assert triangle_distances(p, t) == pytest.approx([3, 5, 2, 1, math.sqrt(0.5)])
