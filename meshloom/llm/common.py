@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = getattr(spark.sparkContext, "_meshloom_dir", None)
     if own is None:
-        own = spark.sparkContext._meshloom_dir = "file://" + tempfile.mkdtemp(prefix="meshloom-")
+        folder = tempfile.mkdtemp(prefix="meshloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        own = spark.sparkContext._meshloom_dir = "file://" + folder
         spark.sparkContext.setCheckpointDir(own)
     return own
 
