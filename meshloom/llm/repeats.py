@@ -99,8 +99,11 @@ def _find(length: int):
             s, m, a, h, c, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
             of = np.searchsorted(ends, s, side="right") - 1
             upto = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x)) for x in ((s - ends[of]).astype(np.int32), m.astype(np.int32), a.astype(np.int32), h.view(np.int64), c.view(np.int64), left, right)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), *lists], names=["id", "fp", "start", "many", "at", "anchor", "content", "left", "right"])
+            # what a shuffled row holds is packed: start, windows and the anchor's offset in one number, both sides in another
+            place = (s - ends[of]) << 32 | m << 16 | a
+            sides = left.astype(np.int64) << 32 | right.view(np.uint32).astype(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x)) for x in (place, h.view(np.int64), c.view(np.int64), sides)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), *lists], names=["id", "fp", "place", "anchor", "content", "sides"])
 
     return kernel
 
@@ -239,23 +242,24 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY)
 
 def _judged(docs: DataFrame, length: int, memory: int) -> DataFrame:
     rows = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
-    found = stored(mapped(rows.select("id", "fp", "text"), _find(length), "id long, fp long, start array<int>, many array<int>, at array<int>, anchor array<long>, content array<long>, left array<int>, right array<int>"), "cells")
-    each = found.select("id", "fp", F.explode(F.arrays_zip("start", "many", "at", "anchor", "content", "left", "right")).alias("c")).select("id", "fp", "c.*")
+    found = stored(mapped(rows.select("id", "fp", "text"), _find(length), "id long, fp long, place array<long>, anchor array<long>, content array<long>, sides array<long>"), "cells")
+    each = found.select("id", "fp", F.explode(F.arrays_zip("place", "anchor", "content", "sides")).alias("c")).select("id", "fp", "c.*")
     # written before the join, so that its two sides are plain shuffles, which Spark can split at a hot anchor
     repeated = stored(each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("copies")), "anchors")
     live = stored(each.join(repeated, "anchor"), "repeated")
     mixed_ = live.where("NOT copies")
-    contents = stored(mixed_.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "start")).alias("one"), F.min("left").alias("left"), F.min("right").alias("right")), "contents")
-    sides = contents.select("anchor", "content", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h")), F.struct(F.lit(1).alias("side"), F.col("right").alias("h")))).alias("s")).select("anchor", "content", "s.*").where("h <> 0")
+    contents = stored(mixed_.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "place")).alias("one"), F.min("sides").alias("sides")), "contents")
+    sides = contents.select("anchor", "content", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftright("sides", 32).alias("h")), F.struct(F.lit(1).alias("side"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h")))).alias("s")).select("anchor", "content", "s.*").where("h <> 0")
     shared = sides.groupBy("anchor", "side", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     wanted = sides.join(shared, ["anchor", "side", "h"], "left_semi").select("anchor", "content").distinct()
     wanted = contents.join(wanted, ["anchor", "content"])
     split = wanted.groupBy("anchor").agg(F.least(F.lit(64), F.ceil(F.count("*") / CONTENTS)).cast("int").alias("split"))
-    settled = live.where("copies").select("id", "fp", "start", "many").unionAll(
-        mixed_.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("id", "fp", "start", "many")
+    start, many, at = F.shiftright("place", 32).cast("int").alias("start"), F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("many"), F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("at")
+    settled = live.where("copies").select("id", "fp", start, many).unionAll(
+        mixed_.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("id", "fp", start, many)
     )
-    a = wanted.join(split, "anchor").select("anchor", "content", "n", "split", F.col("one.id").alias("id"), F.col("one.fp").alias("fp"), F.col("one.start").alias("start"))
-    asked = mixed_.join(a, ["anchor", "content", "id", "fp", "start"]).select("id", "fp", F.struct("start", "many", "at", "anchor", "split", (F.col("n") == 1).alias("need")).alias("x"))
+    a = wanted.join(split, "anchor").select("anchor", "content", "n", "split", F.col("one.id").alias("id"), F.col("one.fp").alias("fp"), F.col("one.place").alias("place"))
+    asked = mixed_.join(a, ["anchor", "content", "id", "fp", "place"]).select("id", "fp", F.struct(start, many, at, "anchor", "split", (F.col("n") == 1).alias("need")).alias("x"))
     per = settled.select("id", "fp", F.struct("start", (F.col("start") + F.col("many") + F.lit(length - 1)).alias("stop")).alias("s"), F.lit(None).cast(asked.schema["x"].dataType).alias("x"))
     per = per.unionAll(asked.select("id", "fp", F.lit(None).cast(per.schema["s"].dataType), "x")).groupBy("id", "fp").agg(
         F.flatten(F.transform(F.array_distinct(F.collect_list("s")), lambda s: F.array(s["start"], s["stop"]))).alias("settled"), F.array_distinct(F.collect_list("x")).alias("asked")
