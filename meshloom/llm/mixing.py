@@ -110,6 +110,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixed(docs).where("copies > 0").select(F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    return docs.join(copies, docs["doc_id"].eqNullSafe(F.col("id"))).select(*[docs[c] for c in docs.columns])
+    """Each document as often as the mix takes it. Rows that agree in id, source and size are taken alike."""
+    per = mixed(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    per = per.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
+    sized = docs.withColumn("_words", words())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    return sized.join(per, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

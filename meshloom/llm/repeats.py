@@ -275,12 +275,13 @@ def _judged(docs: DataFrame, length: int, memory: int) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings, as characters (a cut one becomes U+FFFD), with n_chars anew; a document of which nothing is left goes."""
-    left = _judged(docs, LENGTH, MEMORY).dropDuplicates(["id", "fp"]).select("id", "fp", F.col("n_removed").alias("gone"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept"))
-    rest = [c for c in docs.columns if c != "text"]
-    named = docs.select(*rest, *_key(), F.col("text").isNull().alias("no_text"))
-    whole = named.join(left, ["id", "fp"]).where("gone = 0 OR kept <> ''")
-    text = F.when(~F.col("no_text"), F.col("kept"))
-    new = {"text": text, "n_chars": F.when(F.col("gone") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    left = _judged(docs, LENGTH, MEMORY).dropDuplicates(["id", "fp"]).select(F.col("id").alias("_id"), F.col("fp").alias("_fp"), F.col("n_removed").alias("_gone"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_kept"))
+    key = dict(zip(("_id", "_fp"), _key(), strict=True))
+    named = docs.withColumns({**key, "_no_text": F.col("text").isNull()}).drop("text")
+    whole = named.join(left, ["_id", "_fp"]).where("_gone = 0 OR _kept <> ''")
+    new = {"text": F.when(~F.col("_no_text"), F.col("_kept"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_gone") > 0, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars"))
     return whole.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 

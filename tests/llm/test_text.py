@@ -374,6 +374,27 @@ def test_pipeline(spark):
     assert all(after > 0 for _, _, after in seen) and seen[0][2] == seen[0][1] and seen[1][2] < seen[1][1]
 
 
+def test_stages_keep_odd_rows_and_columns(spark):
+    import corpus_pipeline as p
+
+    rnd = random.Random(8)
+    rows = [(i, prose(30, rnd), "ab"[i % 2], "xx" if i % 3 else "yy") for i in range(20)] + [(None, prose(40, rnd), None, None), (None, prose(40, rnd), None, None), (30, None, "a", None), (31, "", "a", "xx"), (32, prose(25, rnd), "a", "xx"), (32, prose(25, rnd), "a", "xx")]
+    d = docs(spark, rows, extra=True)
+    for name, stage in p.STAGES:
+        out = common.stored(stage(spark, d, ""), "t")
+        if name == "byte_bpe":
+            assert out.count() == d.count()
+            continue
+        assert out.columns == d.columns and out.dtypes == d.dtypes
+        if name == "language_id":
+            assert d.count() - out.count() == 2  # the texts without a letter
+        if name in ("minhash_dedup", "repeat_removal"):
+            assert out.where("doc_id IS NULL").count() == 2 and out.where("doc_id = 32").count() == 1
+        if name == "source_mixing":
+            assert out.groupBy("text").count().agg(F.max("count")).first()[0] <= 2
+        d = out
+
+
 def test_words_match_the_pattern():
     texts = ["a  b\tc\x0bd", "", " x", "É\x1cq z ", None]
     raw, ends = common.text_bytes(pa.array(texts, pa.string()))
