@@ -12,6 +12,7 @@ The flow, with what crosses the network at each step:
 5. components of the confirmed links, carried back to every copy.
 
 At a similarity of 0.85 a pair shares no band with probability 5e-5 and falls below the signature threshold with 1e-6.
+The pipeline's stage links from 0.80 on; with 25 bands of 5 and a threshold of 0.62 these are 5e-5 and 8e-7 there.
 """
 
 from __future__ import annotations
@@ -77,7 +78,9 @@ def _scratch(held: list[np.ndarray] = []) -> np.ndarray:  # noqa: B006  one buff
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
-def _sign(size: int):
+def _sign(size: int, bands: int, rows: int):
+    weight = _BAND.ravel()[: bands * rows].reshape(bands, rows)
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(*text_bytes(batch.column("text")), size)
@@ -92,7 +95,7 @@ def _sign(size: int):
                 order = np.arange(1, len(s) + 1, dtype=np.uint64)
                 out["fp1"].append((mix(s + order)).sum().astype(np.int64))
                 out["fp2"].append((mix(s * np.uint64(0x9E3779B97F4A7C15) ^ order)).sum().astype(np.int64))
-                keys = mix((m.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
+                keys = mix((m[: bands * rows].reshape(bands, rows).astype(np.uint64) * weight).sum(axis=1) + np.arange(bands, dtype=np.uint64))
                 out["bands"].append(keys.view(np.int64))
                 out["sig"].append(mix(m.astype(np.uint64)).astype(np.uint8).tobytes())
             out["doc_id"] = batch.column("doc_id")
@@ -214,7 +217,7 @@ def paired(df: DataFrame, doc: str = "doc_id") -> DataFrame:
     }).drop("chunk", "other", "chunks")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS, agree: float = 0.70) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text; other columns are ignored).
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case. Documents are linked where
@@ -222,8 +225,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> Dat
     where a text is shorter). Texts that are null, empty or blank have no n-gram and are linked with nothing. A
     component carries its smallest doc_id; `kept` marks the row that has it. Repeated rows are copies like any others
     (both have the smallest id, so both are marked). A null doc_id belongs to nothing: component_id and kept are null.
+    Candidates share one of `bands` bands of `rows` minima (MINIMA in all at most) and the share `agree` of all minima; a
+    lower percent needs shorter rows and a lower share, or links are missed.
     """
-    signed = stored(mapped(docs.select(F.col("doc_id").cast("long"), F.col("text")), _sign(shingle), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary"), "minhash")
+    signed = stored(mapped(docs.select(F.col("doc_id").cast("long"), F.col("text")), _sign(shingle, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary"), "minhash")
     classes = stored(
         signed.where("fp1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select("fp1", "fp2", "n_shingles", "r.*"),
         "classes",
@@ -240,7 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> Dat
         "buckets",
     )
     members = classes.select("doc_id", "sig", F.explode("bands").alias("key")).join(buckets, "key")
-    agreeing = mapped(gathered(paired(members), ["key", "pair"]), _agreeing(int(0.70 * MINIMA)), "u long, v long")
+    agreeing = mapped(gathered(paired(members), ["key", "pair"]), _agreeing(int(agree * MINIMA)), "u long, v long")
     groups = stored(components(agreeing).withColumnRenamed("component", "key"), "groups")
     sizes = groups.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     wanted = groups.join(stored(sizes.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("chunks")), "chunks"), "key")
@@ -249,9 +254,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> Dat
     links = mapped(gathered(paired(sets), ["key", "pair"]), _linked(percent), "u long, v long")
     found = stored(components(links), "components")
     named = classes.select("fp1", "fp2", "n_shingles", F.col("doc_id").alias("node")).join(found, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    rows = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2", "n_shingles"], "left")
+    each = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    return each.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +264,6 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; of repeated rows of one id, one row. Rows without an id stay."""
-    keep = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """One document of each group of 0.80 and more stays; of repeated rows of one id, one row. Rows without an id stay."""
+    keep = near_duplicates(docs, percent=80, bands=25, rows=5, agree=0.62).where("kept").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
