@@ -9,7 +9,10 @@
    with common prefixes (`suffixes`) finds the windows that share `length` bytes with a neighbour. Each window holds its
    anchor with half of the remaining bytes to the left or to the right of it, so a cell whose two such strings (hashed
    to 32 bits; a chance collision only sends a cell too many) are in no other content is left out. A shard holds many
-   anchors; an anchor with many contents is split by blocks of offsets, between which no two windows can be equal.
+   anchors; an anchor with many contents is split by blocks of offsets, between which no two windows can be equal. As
+   each piece has `length` bytes at least, that does not bound a group: an anchor with more contents than SHARD holds
+   windows (SHARD // length) sends a hash for each window instead, which Spark counts by anchor, offset and hash in
+   aggregates that spill, and no group of it is ever in one worker's memory.
 4. Intervals go back to their documents, which are cut once.
 """
 
@@ -132,18 +135,28 @@ def _cut(data: bytes, spans: np.ndarray) -> tuple[int, int, int, list[int], byte
 
 _DONE = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 _PIECE = pa.struct([("anchor", pa.int64()), ("block", pa.int32()), ("start", pa.int32()), ("many", pa.int32()), ("need", pa.bool_()), ("bytes", pa.binary())])
-_HALF = "id long, fp long, text string, settled array<int>, pieces array<struct<anchor: long, block: int, start: int, many: int, need: boolean, bytes: binary>>"
+_HOT = pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("need", pa.bool_()), ("hashes", pa.list_(pa.int64()))])
+_HALF = (
+    "id long, fp long, text string, settled array<int>, pieces array<struct<anchor: long, block: int, start: int, many: int, need: boolean, bytes: binary>>, "
+    "hot array<struct<anchor: long, start: int, at: int, need: boolean, hashes: array<long>>>"
+)
 
 
 def _pieces(length: int):
-    """Cuts the cells that shards ask for out of their documents: (start, many, at, anchor, split, need) in, with bytes out."""
+    """Cuts the cells that shards ask for out of their documents: (start, many, at, anchor, split, need) in, with bytes out.
+    A split of 0 asks for a hash of each window."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out = []
+            out, hot = [], []
             for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                data, own = (text or "").encode(), []
+                data, own, hashed = (text or "").encode(), [], []
                 for x in asked or ():
+                    if not x["split"]:
+                        k = np.arange(x["many"])
+                        spans = Spans(np.frombuffer(data, np.uint8)[x["start"] : x["start"] + x["many"] + length - 1])
+                        hashed.append({"anchor": x["anchor"], "start": x["start"], "at": x["at"], "need": x["need"], "hashes": spans.of(k, k + length).view(np.int64)})
+                        continue
                     step = -(-length // x["split"])
                     a, to = x["start"], x["start"] + x["many"]
                     while a < to:
@@ -153,8 +166,8 @@ def _pieces(length: int):
                         own.append({"anchor": x["anchor"], "block": block, "start": a, "many": b - a, "need": x["need"], "bytes": data[a : b + length - 1]})
                         a = b
                 out.append(own)
-            need = [bool(p and any(x["need"] for x in p)) for p in out]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), batch.column("text"), batch.column("settled"), pa.array(out, pa.list_(_PIECE))], names=["id", "fp", "text", "settled", "pieces"])
+                hot.append(hashed)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), batch.column("text"), batch.column("settled"), pa.array(out, pa.list_(_PIECE)), pa.array(hot, pa.list_(_HOT))], names=["id", "fp", "text", "settled", "pieces", "hot"])
 
     return kernel
 
@@ -253,7 +266,8 @@ def _judged(docs: DataFrame, length: int, memory: int) -> DataFrame:
     shared = sides.groupBy("anchor", "side", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     wanted = sides.join(shared, ["anchor", "side", "h"], "left_semi").select("anchor", "content").distinct()
     wanted = contents.join(wanted, ["anchor", "content"])
-    split = wanted.groupBy("anchor").agg(F.least(F.lit(64), F.ceil(F.count("*") / CONTENTS)).cast("int").alias("split"))
+    blocks = F.least(F.lit(64), F.ceil(F.count("*") / CONTENTS)).cast("int")
+    split = wanted.groupBy("anchor").agg(F.when(F.count("*") > max(1, SHARD // length), 0).otherwise(blocks).alias("split"))
     start, many, at = F.shiftright("place", 32).cast("int").alias("start"), F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("many"), F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("at")
     settled = live.where("copies").select("id", "fp", start, many).unionAll(
         mixed_.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("id", "fp", start, many)
@@ -265,9 +279,13 @@ def _judged(docs: DataFrame, length: int, memory: int) -> DataFrame:
         F.flatten(F.transform(F.array_distinct(F.collect_list("s")), lambda s: F.array(s["start"], s["stop"]))).alias("settled"), F.array_distinct(F.collect_list("x")).alias("asked")
     )
     joined = rows.select("id", "fp", "text").join(per, ["id", "fp"], "left")
-    half = stored(mapped(joined, _pieces(length), _HALF).withColumn("waits", F.exists("pieces", lambda p: p["need"])), "pieces")
+    half = stored(mapped(joined, _pieces(length), _HALF).withColumn("waits", F.exists("pieces", lambda p: p["need"]) | F.exists("hot", lambda p: p["need"])), "pieces")
     pieces = half.select("id", "fp", F.explode("pieces").alias("p")).select("id", "fp", "p.*").dropDuplicates(["anchor", "block", "id", "fp", "start"])
     hits = mapped(gathered(pieces, ["anchor", "block"]), _sorted_shards(length, memory), "id long, fp long, lo int, hi int")
+    hot = half.select("id", "fp", F.explode("hot").alias("c")).select("id", "fp", "c.*").dropDuplicates(["anchor", "id", "fp", "start"])
+    hot = hot.select("id", "fp", "anchor", "need", "start", "at", F.posexplode("hashes").alias("k", "h")).select("id", "fp", "anchor", "need", (F.col("start") + F.col("k")).alias("lo"), (F.col("at") - F.col("k")).alias("offset"), "h")
+    again = hot.groupBy("anchor", "offset", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    hits = hits.unionAll(hot.where("need").join(again, ["anchor", "offset", "h"], "left_semi").select("id", "fp", "lo", (F.col("lo") + F.lit(length)).cast("int").alias("hi")))
     hits = hits.groupBy("id", "fp").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("found"))
     waiting = half.where("waits").select("id", "fp", "text", "settled").join(hits, ["id", "fp"], "left")
     return mapped(half.where("NOT waits").select("id", "fp", "text", "settled"), _settle(False), _OUT).unionAll(mapped(waiting, _settle(True), _OUT))
