@@ -107,9 +107,8 @@ def material_spec(text: str) -> Iterator[tuple[str, str, int, str]]:
 
 
 def chordal_bias(cylinders: DataFrame) -> DataFrame:
-    """(mesh_id, volume): what a mesh's cylinders (mesh_id, radius, height, is_internal, n_tri) lose or gain by their chords:
-    per cylinder the wall's area times two thirds of the sagitta, bores negative."""
+    """(mesh_id, volume): what a mesh's cylinders (mesh_id, radius, area, is_internal, n_tri) lose or gain by their chords:
+    per cylinder the area of its facets times two thirds of the sagitta, bores negative."""
     n = F.greatest(F.lit(8.0), F.least(F.lit(128.0), F.floor(F.col("n_tri") / 2.0 + 0.5)))
     sagitta = F.col("radius") * (1 - F.cos(F.lit(np.pi) / n))
-    wall = 2 * F.lit(np.pi) * F.col("radius") * F.col("height")
-    return cylinders.groupBy("mesh_id").agg(F.sum(F.when(F.col("is_internal"), -1.0).otherwise(1.0) * wall * sagitta * (2.0 / 3.0)).alias("volume"))
+    return cylinders.groupBy("mesh_id").agg(F.sum(F.when(F.col("is_internal"), -1.0).otherwise(1.0) * F.col("area") * sagitta * (2.0 / 3.0)).alias("volume"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.geometry import cylinder_distance, halton, plane_distance, triangle_area, vec
+from meshloom.operators.polygons import triangle_distances
 from meshloom.operators.spatial import order_statistic
 from meshloom.operators.topology import corners
 
@@ -39,6 +44,63 @@ def residuals(sample: DataFrame, surfaces: DataFrame, inliers: DataFrame) -> Dat
     return s.select("mesh_id", "sample", "tri", "surface_id", d.cast("float").cast("double").alias("residual"))
 
 
+_SURFACE = ["x", "y", "z", "ax", "ay", "az", "radius", "height"]
+_CORNERS = [f"{c}{k}" for k in range(3) for c in "xyz"]
+
+
+def _to_surface(p: np.ndarray, kind: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Distances of points (n, 3) from surfaces (k), as (n, k); infinite from one that is no plane or cylinder."""
+    w = p[:, None] - s[None, :, :3]
+    t = (w * s[:, 3:6]).sum(axis=2)
+    r = np.linalg.norm(w - t[..., None] * s[:, 3:6], axis=2)
+    wall = np.hypot(r - s[:, 6], np.maximum(np.maximum(-t, t - s[:, 7]), 0))
+    return np.where(kind == "plane", np.abs(t), np.where(kind == "cylinder", wall, np.inf))
+
+
+def _across(point: pd.DataFrame, facet: pd.DataFrame) -> pd.DataFrame:
+    p, t = point[["x", "y", "z"]].to_numpy(float), facet[_CORNERS].to_numpy(float).reshape(-1, 3, 3)
+    kind, s = facet["type"].to_numpy(object), facet[[f"s_{c}" for c in _SURFACE]].to_numpy(float)
+    out = np.zeros(len(p))
+    if len(t) and len(p):
+        low, high = t.min(axis=1), t.max(axis=1)
+        diagonal = max(1e-3, float(np.linalg.norm(high.max(axis=0) - low.min(axis=0))))
+        size = max(diagonal * 1e-4, diagonal / min(32.0, max(8.0, float(np.cbrt(max(64, len(t)))))))
+        grid: dict[tuple, list[int]] = {}
+        first, last = np.floor((low - size / 4) / size).astype(int), np.floor((high + size / 4) / size).astype(int)
+        for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+            for c in itertools.product(*[range(i, j + 1) for i, j in zip(a, b, strict=True)]):
+                grid.setdefault(c, []).append(k)
+        cells, which = np.unique(np.floor(p / size).astype(int), axis=0, return_inverse=True)
+        surface = np.unique(facet["surface_id"].to_numpy(float), return_index=True)[1]
+        order, which = np.argsort(which.ravel(), kind="stable"), which.ravel()
+        bounds = np.searchsorted(which[order], np.arange(len(cells) + 1))
+        for i, c in enumerate(cells.tolist()):
+            near: set[int] = set()
+            for ring in range(3):
+                for d in itertools.product(range(-ring, ring + 1), repeat=3):
+                    if max(map(abs, d)) == ring:
+                        near.update(grid.get((c[0] + d[0], c[1] + d[1], c[2] + d[2]), ()))
+                if near:
+                    break
+            rows = order[bounds[i] : bounds[i + 1]]
+            on = np.array(sorted(near), int) if near else surface
+            best = _to_surface(p[rows], kind[on], s[on]).min(axis=1)
+            if near:
+                for k in on.tolist():
+                    best = np.minimum(best, triangle_distances(p[rows], np.broadcast_to(t[k], (len(rows), 3, 3))))
+            out[rows] = np.where(np.isfinite(best), best, 0.0)
+    return pd.DataFrame({"mesh_id": point["mesh_id"], "sample": point["sample"], "residual": out.astype(np.float32).astype(float)})
+
+
+def cross_residuals(sample: DataFrame, facet: DataFrame, surfaces: DataFrame, inliers: DataFrame) -> DataFrame:
+    """(mesh_id, sample, residual): samples of one mesh against another of the same mesh_id, the least distance to the
+    facets (and their planes and cylinders) of the first of three rings of cells that holds any; beyond these, to any
+    of the surfaces; 0 where there is none. surfaces and inliers as for residuals(), of the other mesh."""
+    s = surfaces.select("mesh_id", "surface_id", "type", *[F.col(c).alias(f"s_{c}") for c in _SURFACE])
+    f = facet.join(inliers, ["mesh_id", "tri"], "left").join(s, ["mesh_id", "surface_id"], "left").select("mesh_id", "surface_id", "type", *_CORNERS, *[f"s_{c}" for c in _SURFACE])
+    return sample.select(F.col("mesh_id").alias("mesh_id"), "sample", "x", "y", "z").groupBy("mesh_id").cogroup(f.groupBy("mesh_id")).applyInPandas(_across, "mesh_id string, sample long, residual double")
+
+
 def deviations(residual: DataFrame) -> DataFrame:
     """(mesh_id, h99, hmax, rmse): the value at place floor(0.99 n), the greatest, and the root mean square."""
     o = order_statistic(residual, ["mesh_id"], "residual").select("mesh_id", F.col("stat").alias("h99"), F.col("greatest").alias("hmax"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.operators import features, kernels, matching, reports, topology, verify
+from meshloom.operators import features, kernels, matching, polygons, reports, topology, verify
 from meshloom.sources import step
 
 
@@ -32,13 +32,21 @@ def detect_threads(vertex: DataFrame, triangle: DataFrame) -> DataFrame:
     return features.holes(kernels.surfaces(kernels.segment(topology.facets(vertex, triangle))))
 
 
-def verify_meshes(vertex: DataFrame, triangle: DataFrame, n: int = 300) -> DataFrame:
-    """(mesh_id, no, gate, status) of the five gates."""
+def verify_meshes(vertex: DataFrame, triangle: DataFrame, n: int = 3000, source: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(mesh_id, no, gate, status) of the five gates. Where the (vertex, triangle) that meshes were made from are given,
+    samples are taken there and held against the meshes; else against the surfaces of their own facets."""
     f = topology.facets(vertex, triangle)
     seg = kernels.segment(f)
     s = seg.where("error IS NULL")
-    residual = verify.residuals(verify.samples(f, n), kernels.surfaces(seg), s.select("mesh_id", "surface_id", "tri"))
-    return verify.gates(topology.analyze(vertex, triangle), features.coverage(seg), joints(shells_of(vertex, triangle)), verify.deviations(residual))
+    surfaces, inliers = kernels.surfaces(seg), s.select("mesh_id", "surface_id", "tri")
+    if source is None:
+        residual = verify.residuals(verify.samples(f, n), surfaces, inliers)
+    else:
+        residual = verify.cross_residuals(verify.samples(topology.facets(*source), n), f, surfaces, inliers)
+    a = topology.analyze(vertex, triangle)
+    bias = polygons.chordal_bias(surfaces.where("type = 'cylinder'")).withColumnRenamed("volume", "bias")
+    volumes = a.select("mesh_id", "volume").join(bias, "mesh_id", "left").select("mesh_id", (F.col("volume") + F.coalesce("bias", F.lit(0.0))).alias("other"))
+    return verify.gates(a, features.coverage(seg), joints(shells_of(vertex, triangle)), verify.deviations(residual), volumes)
 
 
 def convert(vertex: DataFrame, triangle: DataFrame, out: str | None = None, tier: str = "8k", simplify_to: float | int | None = None) -> DataFrame:

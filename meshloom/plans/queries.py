@@ -453,7 +453,7 @@ def segment_surfaces(spark, sf_dir):
 def verify_gates(spark, sf_dir):
     from meshloom.plans import api
 
-    return api.verify_meshes(*meshes(spark), 200).select("mesh_id", "gate", "status")
+    return api.verify_meshes(*meshes(spark)).select("mesh_id", "gate", "status")
 
 
 @query(_MESH + _HALF + """ SELECT t.mesh_id AS file_id, count(DISTINCT t.vid) AS vertices, any_value(e.n) AS edges, any_value(f.n) AS faces, any_value(e.open) AS open_edges, any_value(e.open) = 0 AS watertight
@@ -499,7 +499,7 @@ def surface_samples(spark, sf_dir):
 
     f = topology.facets(*procedural.tables(spark))
     seg = kernels.segment(f)
-    return verify.residuals(verify.samples(f, 300), kernels.surfaces(seg), seg.where("error IS NULL").select("mesh_id", "surface_id", "tri"))
+    return verify.residuals(verify.samples(f), kernels.surfaces(seg), seg.where("error IS NULL").select("mesh_id", "surface_id", "tri"))
 
 
 @query(_FACET + ", n AS (SELECT mesh_id, count(*) AS total FROM triangle GROUP BY 1) SELECT mesh_id, 200::BIGINT AS n FROM n")
