@@ -84,10 +84,11 @@ def basis(n: Vec) -> tuple[Vec, Vec]:
 
 
 def snapped_axis(n: Vec, least: float = 0.92) -> Column:
-    """The signed coordinate axis that n is closest to, null if none is within `least`."""
+    """The signed coordinate axis that n is closest to (of equals the first), null if none is within `least`."""
+    most = F.greatest(*[F.abs(c) for c in n])
     out = F.lit(None).cast("string")
-    for c, name in zip(n, "XYZ", strict=True):
-        out = F.when(c >= least, "+" + name).when(c <= -least, "-" + name).otherwise(out)
+    for c, name in reversed(list(zip(n, "XYZ", strict=True))):
+        out = F.when((F.abs(c) == most) & (c >= least), "+" + name).when((F.abs(c) == most) & (c <= -least), "-" + name).otherwise(out)
     return out
 
 

@@ -603,3 +603,28 @@ def triangle_distances(spark, sf_dir):
     p = points(spark, sf_dir).where("x BETWEEN 0 AND 1 AND y <= x AND y <= 1")
     t = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "z0", "x1", "y1", "z1", "x2", "y2", "z2"), (0, 0, 0, 1, 0, 0, 1, 1, 0), strict=True)])
     return p.select("id", r6(polygons.triangle_distance(F.struct("x", "y", "z"), t)).alias("distance"))
+
+
+# -- the same operators over all rows, where the queries above take some --------------------------------------
+
+
+@query("WITH b AS (SELECT c_nationkey AS k, c_custkey AS id, c_acctbal AS lo, c_acctbal + 100e0 AS hi FROM customer) SELECT i.k, i.id AS inner_id, min(o.id) AS outer_id FROM b i JOIN b o ON o.k = i.k AND i.lo >= o.lo - 500e0 - 1e-3 AND i.hi <= o.hi + 500e0 + 1e-3 GROUP BY ALL")
+def smallest_enclosing_all(spark, sf_dir):
+    """Each customer's interval in the wider ones of all customers of the nation."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 100.0).alias("hi"))
+    box = lambda pad: c.select("k", "id", F.lit(1100.0).alias("size"), *[(F.col("lo") - pad).alias(f"min_{a}") for a in "xyz"], *[(F.col("hi") + pad).alias(f"max_{a}") for a in "xyz"])
+    return matching.smallest_enclosing(box(0.0), box(500.0), ["k"])
+
+
+@query(f"WITH {_PTS}, m AS (SELECT *, greatest(abs(x), abs(y), abs(z)) AS m FROM pts) SELECT id, CASE WHEN m < 0.25e0 THEN NULL WHEN abs(x) = m THEN CASE WHEN x > 0 THEN '+X' ELSE '-X' END WHEN abs(y) = m THEN CASE WHEN y > 0 THEN '+Y' ELSE '-Y' END WHEN abs(z) = m THEN CASE WHEN z > 0 THEN '+Z' ELSE '-Z' END END AS axis FROM m")
+def axis_snap_all(spark, sf_dir):
+    """All points; of several axes that qualify the closest, of equals the first."""
+    return points(spark, sf_dir).select("id", geometry.snapped_axis(geometry.vec("x", "y", "z"), 0.25).alias("axis"))
+
+
+@query(f"""WITH {_PTS}, k AS (SELECT *, least(1e0, greatest(0e0, x)) AS a, least(1e0, greatest(0e0, y)) AS b, least(1e0, greatest(0e0, (x + y) / 2)) AS c FROM pts)
+    SELECT id, floor(CASE WHEN x <= 1 AND y BETWEEN 0 AND x THEN abs(z) ELSE sqrt(least((x-a)*(x-a) + y*y, (x-1)*(x-1) + (y-b)*(y-b), (x-c)*(x-c) + (y-c)*(y-c)) + z*z) END * 1e6 + 0.5) / 1e6 AS distance FROM k""")
+def triangle_distances_all(spark, sf_dir):
+    """All points: over the triangle, or nearest to one of its sides or corners."""
+    t = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "z0", "x1", "y1", "z1", "x2", "y2", "z2"), (0, 0, 0, 1, 0, 0, 1, 1, 0), strict=True)])
+    return points(spark, sf_dir).select("id", r6(polygons.triangle_distance(F.struct("x", "y", "z"), t)).alias("distance"))
