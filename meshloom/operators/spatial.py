@@ -30,16 +30,30 @@ def distance_pairs(points: DataFrame, keys: list[str], most: float) -> DataFrame
 
 def sewn(vertex: DataFrame, triangle: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """triangle with corners of open edges that lie within the tolerance of each other taken as one, the least of their ids.
-    Chains of near points become one vertex whatever the order (a point's least neighbour, to a fixed point of three rounds)."""
+    Chains of near points become one vertex whatever their order and length: the least of the chain's ids."""
+    import numpy as np
+    import pandas as pd
+
     from .topology import boundary_half_edges
 
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        vid, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        lab = np.arange(len(vid))
+        while True:
+            new = lab.copy()
+            np.minimum.at(new, a, lab[b])
+            np.minimum.at(new, b, lab[a])
+            new = new[new]
+            if (new == lab).all():
+                break
+            lab = new
+        return pd.DataFrame({"mesh_id": pdf["mesh_id"].iloc[0], "vid": vid, "rep": vid[lab]})
+
     loose = boundary_half_edges(triangle).select("mesh_id", F.explode(F.array("u", "v")).alias("vid")).distinct()
     pts = vertex.join(loose, ["mesh_id", "vid"]).select("mesh_id", F.col("vid").alias("id"), "x", "y", "z")
     near = distance_pairs(pts, ["mesh_id"], tolerance).select("mesh_id", "a", "b")
-    to = near.groupBy("mesh_id", F.col("b").alias("vid")).agg(F.min("a").alias("rep"))
-    for _ in range(2):
-        up = to.select("mesh_id", F.col("vid").alias("rep"), F.col("rep").alias("rep2"))
-        to = to.join(up, ["mesh_id", "rep"], "left").select("mesh_id", "vid", F.coalesce("rep2", "rep").alias("rep"))
+    to = near.groupBy("mesh_id").applyInPandas(label, "mesh_id string, vid long, rep long")
     out = triangle
     for k in range(3):
         t = to.select("mesh_id", F.col("vid").alias(f"i{k}"), F.col("rep").alias(f"r{k}"))
