@@ -13,7 +13,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Words of the contracts: runs of bytes other than space and the five ASCII white-space controls.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -24,12 +26,14 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir. One of our own only where none is named and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     own = getattr(spark.sparkContext, "_meshloom_dir", None)
     if own is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="meshloom-")
         atexit.register(shutil.rmtree, folder, True)
         own = spark.sparkContext._meshloom_dir = "file://" + folder
@@ -37,29 +41,62 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_PATHS: dict[str, SparkSession] = {}  # folders of ours that are still there
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one; it goes when the driver ends."""
+    """A fresh folder below the shared one; it goes when the driver ends, if it wasn't dropped before."""
+    if not _PATHS:
+        atexit.register(_drop_all)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    _PATHS[path] = spark
     return path
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        drop_path(spark, path)
+def _drop_all() -> None:
+    for path, spark in list(_PATHS.items()):
+        with contextlib.suppress(Exception):
+            drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _PATHS.pop(path, None)
+
+
+def paths() -> set[str]:
+    """The folders that are there now, for one who drops later what is made from here on."""
+    return set(_PATHS)
+
+
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go as soon as it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_go(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._meshloom_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that stored() made, once what was made of them is stored itself."""
+    for t in tables:
+        drop_path(t.sparkSession, t._meshloom_path)
 
 
 # -- Arrow --------------------------------------------------------------------------------------
@@ -92,7 +129,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """df through a kernel. A worker process that goes over to another operator first gives back what the last one held."""
     owner = kernel.__module__
 
@@ -119,7 +156,7 @@ def _enter(owner: str) -> None:
         return
     _OWNER[0] = owner
     _HELD.clear()
-    Spans._up = Spans._down = np.ones(1, np.uint64)
+    Spans._up, Spans._down = [], []
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -139,41 +176,129 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_B = 0x9E3779B97F4A7C15 | 1
-_B_INV = pow(_B, -1, 1 << 64)
+P31 = (1 << 31) - 1
+_BASES = (0x5A17_3C2D, 0x3B9F_64E7)  # of two lanes
+
+
+def mod31(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime 2**31 - 1."""
+    x = (x & np.uint64(P31)) + (x >> np.uint64(31))
+    x = (x & np.uint64(P31)) + (x >> np.uint64(31))
+    x[x == P31] = 0
+    return x
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**31 - 1."""
     out = np.ones(max(n, 1), np.uint64)
     have = 1
     while have < n:
-        step = np.uint64(pow(base, have, 1 << 64))
         take = min(have, n - have)
-        np.multiply(out[:take], step, out=out[have : have + take])
+        out[have : have + take] = mod31(out[:take] * np.uint64(pow(base, have, P31)))
         have += take
     return out[:n]
 
 
 class Spans:
-    """Hashes of byte spans of one buffer, the same wherever equal bytes stand."""
+    """Hashes of spans of one buffer, the same wherever equal bytes stand: two polynomials modulo 2**31 - 1, so that two
+    different spans of n bytes agree with a chance of about (n / 2**31)**2, however they are built."""
 
-    _up = np.ones(1, np.uint64)
-    _down = np.ones(1, np.uint64)
+    _up: list[np.ndarray] = []
+    _down: list[np.ndarray] = []
 
     def __init__(self, raw: np.ndarray) -> None:
         n = len(raw)
-        if len(Spans._up) < n + 1:
-            Spans._up, Spans._down = powers(_B, n + 1 + n // 4), powers(_B_INV, n + 1 + n // 4)
-        table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_B))
+        if not Spans._up or len(Spans._up[0]) < n + 1:
+            Spans._up = [powers(b, n + 1 + n // 4) for b in _BASES]
+            Spans._down = [powers(pow(b, -1, P31), n + 1 + n // 4) for b in _BASES]
+        table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)
         terms = table[raw]
-        terms *= Spans._up[:n]
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(terms, out=self.sums[1:])
+        self.sums = []
+        for up in Spans._up:
+            s = np.zeros(n + 1, np.uint64)
+            np.cumsum(mod31(terms * up[:n]), out=s[1:])  # no sum of fewer than 2**33 terms overflows
+            self.sums.append(s)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * Spans._down[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        one, two = (mod31(mod31(s[ends] - s[starts]) * down[starts]) for s, down in zip(self.sums, Spans._down, strict=True))
+        return mix((one << np.uint64(31) | two) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+_LANES = 32
+_KEEP = np.array([0xFFFFFFFFFFFFFFFF >> (64 - 8 * k) if k else 0 for k in range(9)], np.uint64)
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; zeros follow the end."""
+    padded = np.zeros(len(raw) + 8, np.uint64)
+    padded[: len(raw)] = raw
+    two = padded[:-1] | padded[1:] << np.uint64(8)
+    four = two[:-2] | two[2:] << np.uint64(16)
+    return (four[:-4] | four[4:] << np.uint64(32))[: len(raw) + 1]
+
+
+def piece_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each piece raw[start:stop], eight bytes at a step, each step mixed; pieces beyond 256 bytes by xxh3."""
+    size = stops - starts
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    if not len(size):
+        return out
+    lane = eights(raw)
+    live, at, left = np.arange(len(size)), starts, size
+    for _ in range(_LANES):
+        on = left > 0
+        if not on.all():
+            live, at, left = live[on], at[on], left[on]
+        if not len(live):
+            return out
+        out[live] = mix((out[live] ^ (lane[at] & _KEEP[np.minimum(left, 8)])) * np.uint64(0xC2B2AE3D27D4EB4F))
+        at, left = at + 8, left - 8
+    data = memoryview(np.ascontiguousarray(raw))
+    for k in live[left > 0].tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : stops[k]])
+    return out
+
+
+def alike(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, one: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Whether each piece has the very bytes of the piece that stands for its class (one[inverse])."""
+    size, first = stops - starts, one[inverse]
+    same = size == size[first]
+    lane = eights(raw)
+    live = np.flatnonzero(same & (first != np.arange(len(first))))
+    a, b, left = starts[live], starts[first[live]], size[live]
+    for _ in range(_LANES):
+        differ = ((lane[a] ^ lane[b]) & _KEEP[np.minimum(left, 8)]) != 0
+        same[live[differ]] = False
+        on = ~differ & (left > 8)
+        live, a, b, left = live[on], a[on] + 8, b[on] + 8, left[on] - 8
+        if not len(live):
+            return same
+    for k, i, j, n in zip(live.tolist(), a.tolist(), b.tolist(), left.tolist(), strict=True):
+        same[k] = np.array_equal(raw[i : i + n], raw[j : j + n])
+    return same
+
+
+def classes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a piece that stands for each class of pieces with the same bytes, each piece's class). Pieces meet by hash and are then compared."""
+    hashes = piece_hashes(raw, starts, stops)
+    order = np.argsort(hashes)
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    one, inverse = order[new], np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    odd = np.flatnonzero(~alike(raw, starts, stops, one, inverse))
+    inverse[odd] = len(one) + np.arange(len(odd))
+    return np.concatenate([one, odd]), inverse
+
+
+def joined(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[start[k] : start[k] + size[k]] for k in which, one after another, and where each begins (one more at the end)."""
+    n = size[which]
+    upto = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(n, out=upto[1:])
+    index = np.repeat(start[which] - upto[:-1], n)
+    index += np.arange(upto[-1])
+    return flat[index], upto
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -198,7 +323,7 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after[edges[edges > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     stops = np.flatnonzero(inside & ~after) + 1
-    return Spans(_LOWER[raw]).of(starts, stops), np.searchsorted(starts, ends)
+    return piece_hashes(_LOWER[raw], starts, stops), np.searchsorted(starts, ends)
 
 
 # -- groups in sorted Arrow streams ---------------------------------------------------------------
@@ -227,9 +352,9 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def gathered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of equal keys next to each other in one partition, for runs()."""
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+def gathered(df: DataFrame, keys: list[str], dealt: list[str] | None = None) -> DataFrame:
+    """Rows of equal keys next to each other in one partition, for runs(); dealt by the first few of them, if given."""
+    return df.repartition(*(dealt or keys)).sortWithinPartitions(*keys)
 
 
 def records(schema: pa.Schema, rows: dict[str, list | np.ndarray]) -> pa.RecordBatch:
