@@ -3,8 +3,8 @@
 1. In every window of `length` bytes the least hashed 32-byte gram, the leftmost of equals, is the window's anchor. The
    windows of one anchor position follow each other and make a cell. Equal windows have equal anchors at equal
    offsets, and lie in different cells, so only cells whose anchor gram occurs again matter.
-2. Anchors are counted, with the least and the greatest hash of their cells' bytes. Where these agree, all cells of the
-   anchor are copies, and all their windows repeat. Copies are settled there, by counts that combine before the shuffle.
+2. Anchors are counted, with the least and the greatest hash (xxh3) of their cells' bytes. Where these agree, all cells of
+   the anchor are copies, and all their windows repeat. Copies are settled there, by counts that combine before the shuffle.
 3. Of the other repeated anchors, one cell of each distinct content goes to the anchor's shard, where a suffix array
    with common prefixes (`suffixes`) finds the windows that share `length` bytes with a neighbour. Each window holds its
    anchor with half of the remaining bytes to the left or to the right of it, so a cell whose two such strings (hashed
@@ -14,19 +14,23 @@
    windows (SHARD // length) sends a hash for each window instead, which Spark counts by anchor, offset and hash in
    aggregates that spill, and no group of it is ever in one worker's memory.
 4. Intervals go back to their documents, which are cut once.
+
+Texts are shuffled twice, to the cells that shards ask for and to their intervals, and never stored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import Spans, gathered, mapped, mix, runs, slices, stored, text_bytes
+from .common import Spans, dropped, eights, gathered, mapped, mix, runs, slices, stored, text_bytes
 from .suffixes import suffix_array
 
 LENGTH, GRAM = 400, 32
@@ -43,11 +47,7 @@ def cells(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.n
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int32),) * 2
     if n < length:
         return none
-    padded = np.zeros(n + GRAM, np.uint64)
-    padded[:n] = raw
-    two = padded[:-1] | padded[1:] << np.uint64(8)
-    four = two[:-2] | two[2:] << np.uint64(16)
-    eight = four[:-4] | four[4:] << np.uint64(32)
+    eight = eights(np.append(raw, np.zeros(GRAM - 8, np.uint8)))
     h = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
     for j, k in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (24, 0xD6E8FEB86659FD93)):
         m = min(n, len(eight) - j)
@@ -78,7 +78,9 @@ def cells(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.n
     left, right = at - half, at + GRAM + half
     wide = (start <= left, start + many - 1 + length >= right)
     side = lambda a, b, ok: np.where(ok, spans.of(np.where(ok, a, 0), np.where(ok, b, 0)) | np.uint64(1), np.uint64(0)).astype(np.uint32).view(np.int32)
-    return start, many, at, h[at], spans.of(start, start + many + length - 1), side(left, at + GRAM, wide[0]), side(at, right, wide[1])
+    data = memoryview(np.ascontiguousarray(raw))
+    content = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), (start + many + length - 1).tolist(), strict=True)], np.uint64)
+    return start, many, at, h[at], content, side(left, at + GRAM, wide[0]), side(at, right, wide[1])
 
 
 def _blocks(raw: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -123,21 +125,17 @@ def _union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def _cut(data: bytes, spans: np.ndarray) -> tuple[int, int, int, list[int], bytes]:
-    runs_ = _union(spans)
-    kept, at = [], 0
-    for a, b in runs_.tolist():
-        kept.append(data[at:a])
-        at = b
-    kept.append(data[at:])
-    return len(data), int((runs_[:, 1] - runs_[:, 0]).sum()), len(runs_), runs_.ravel().tolist(), b"".join(kept)
+def _cut(data: bytes, spans: np.ndarray) -> tuple[list[int], bytes]:
+    """Maximal runs of spans, flat, and what they leave."""
+    flat = _union(spans).ravel().tolist()
+    bounds = [0, *flat, len(data)]
+    return flat, b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
 
 
-_DONE = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 _PIECE = pa.struct([("anchor", pa.int64()), ("block", pa.int32()), ("start", pa.int32()), ("many", pa.int32()), ("need", pa.bool_()), ("bytes", pa.binary())])
 _HOT = pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("need", pa.bool_()), ("hashes", pa.list_(pa.int64()))])
 _HALF = (
-    "id long, fp long, text string, settled array<int>, pieces array<struct<anchor: long, block: int, start: int, many: int, need: boolean, bytes: binary>>, "
+    "id long, fp long, pieces array<struct<anchor: long, block: int, start: int, many: int, need: boolean, bytes: binary>>, "
     "hot array<struct<anchor: long, start: int, at: int, need: boolean, hashes: array<long>>>"
 )
 
@@ -167,7 +165,7 @@ def _pieces(length: int):
                         a = b
                 out.append(own)
                 hot.append(hashed)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), batch.column("text"), batch.column("settled"), pa.array(out, pa.list_(_PIECE)), pa.array(hot, pa.list_(_HOT))], names=["id", "fp", "text", "settled", "pieces", "hot"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(out, pa.list_(_PIECE)), pa.array(hot, pa.list_(_HOT))], names=["id", "fp", "pieces", "hot"])
 
     return kernel
 
@@ -219,90 +217,112 @@ def _sorted_shards(length: int, memory: int):
     return kernel
 
 
-def _settle(whole: bool):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows = []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                flat = (batch.column("settled")[k].as_py() or []) + ((batch.column("found")[k].as_py() or []) if whole else [])
-                rows.append(_cut((text or "").encode(), np.array(flat, np.int64).reshape(-1, 2)))
-            cols = [pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int64())), (4, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), *cols], names=["id", "fp", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
-
-    return kernel
-
-
-_OUT = "id long, fp long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary"
-
-
 def _key() -> tuple[Column, Column]:
     """(id, fp), fp a hash of the text whose last bit tells a null id; rows that agree in both are repeats of one another."""
     fp = F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), fp.alias("fp")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, spans, kept) for each row of docs (doc_id, text).
-
-    Each byte goes that is covered by a string of `length` bytes that starts anywhere else too, in the same document or
-    another; a repeated row is another document. Texts are their UTF-8 bytes (null: empty), strings never cross texts,
-    and all are judged on the input. spans: start and end of each maximal removed run, one after another. kept: the
-    bytes that are left, in one. memory bounds what a shard's sorting queues hold before they go to disk.
-    """
-    done = _judged(docs, length, memory)
-    return done.select(F.when(F.col("fp").bitwiseAND(F.lit(1)) == 0, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")
-
-
-def _judged(docs: DataFrame, length: int, memory: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY) -> DataFrame:
+    """(id, fp, spans), stored, for each row of docs (doc_id, text) that holds a string of `length` bytes which starts anywhere
+    else too. spans: start and end of such strings, one after another, which may overlap or repeat. Rows are named by _key()."""
     rows = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
-    found = stored(mapped(rows.select("id", "fp", "text"), _find(length), "id long, fp long, place array<long>, anchor array<long>, content array<long>, sides array<long>"), "cells")
+    found = stored(mapped(rows, _find(length), "id long, fp long, place array<long>, anchor array<long>, content array<long>, sides array<long>"), "cells")
     each = found.select("id", "fp", F.explode(F.arrays_zip("place", "anchor", "content", "sides")).alias("c")).select("id", "fp", "c.*")
     # written before the join, so that its two sides are plain shuffles, which Spark can split at a hot anchor
     repeated = stored(each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("copies")), "anchors")
     live = stored(each.join(repeated, "anchor"), "repeated")
+    dropped(found, repeated)
     mixed_ = live.where("NOT copies")
     contents = stored(mixed_.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "place")).alias("one"), F.min("sides").alias("sides")), "contents")
     sides = contents.select("anchor", "content", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftright("sides", 32).alias("h")), F.struct(F.lit(1).alias("side"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h")))).alias("s")).select("anchor", "content", "s.*").where("h <> 0")
     shared = sides.groupBy("anchor", "side", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     wanted = sides.join(shared, ["anchor", "side", "h"], "left_semi").select("anchor", "content").distinct()
     wanted = contents.join(wanted, ["anchor", "content"])
-    blocks = F.least(F.lit(64), F.ceil(F.count("*") / CONTENTS)).cast("int")
-    split = wanted.groupBy("anchor").agg(F.when(F.count("*") > max(1, SHARD // length), 0).otherwise(blocks).alias("split"))
+    split = wanted.groupBy("anchor").agg(F.when(F.count("*") > max(1, SHARD // length), 0).otherwise(F.ceil(F.count("*") / CONTENTS)).cast("int").alias("split"))
     start, many, at = F.shiftright("place", 32).cast("int").alias("start"), F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("many"), F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("at")
     settled = live.where("copies").select("id", "fp", start, many).unionAll(
         mixed_.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("id", "fp", start, many)
     )
     a = wanted.join(split, "anchor").select("anchor", "content", "n", "split", F.col("one.id").alias("id"), F.col("one.fp").alias("fp"), F.col("one.place").alias("place"))
     asked = mixed_.join(a, ["anchor", "content", "id", "fp", "place"]).select("id", "fp", F.struct(start, many, at, "anchor", "split", (F.col("n") == 1).alias("need")).alias("x"))
-    per = settled.select("id", "fp", F.struct("start", (F.col("start") + F.col("many") + F.lit(length - 1)).alias("stop")).alias("s"), F.lit(None).cast(asked.schema["x"].dataType).alias("x"))
-    per = per.unionAll(asked.select("id", "fp", F.lit(None).cast(per.schema["s"].dataType), "x")).groupBy("id", "fp").agg(
-        F.flatten(F.transform(F.array_distinct(F.collect_list("s")), lambda s: F.array(s["start"], s["stop"]))).alias("settled"), F.array_distinct(F.collect_list("x")).alias("asked")
-    )
-    joined = rows.select("id", "fp", "text").join(per, ["id", "fp"], "left")
-    half = stored(mapped(joined, _pieces(length), _HALF).withColumn("waits", F.exists("pieces", lambda p: p["need"]) | F.exists("hot", lambda p: p["need"])), "pieces")
+    asked = stored(asked.groupBy("id", "fp").agg(F.array_distinct(F.collect_list("x")).alias("asked")), "asked")
+    half = stored(mapped(rows.join(asked, ["id", "fp"]), _pieces(length), _HALF), "pieces")
+    dropped(asked)
     pieces = half.select("id", "fp", F.explode("pieces").alias("p")).select("id", "fp", "p.*").dropDuplicates(["anchor", "block", "id", "fp", "start"])
     hits = mapped(gathered(pieces, ["anchor", "block"]), _sorted_shards(length, memory), "id long, fp long, lo int, hi int")
     hot = half.select("id", "fp", F.explode("hot").alias("c")).select("id", "fp", "c.*").dropDuplicates(["anchor", "id", "fp", "start"])
     hot = hot.select("id", "fp", "anchor", "need", "start", "at", F.posexplode("hashes").alias("k", "h")).select("id", "fp", "anchor", "need", (F.col("start") + F.col("k")).alias("lo"), (F.col("at") - F.col("k")).alias("offset"), "h")
     again = hot.groupBy("anchor", "offset", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     hits = hits.unionAll(hot.where("need").join(again, ["anchor", "offset", "h"], "left_semi").select("id", "fp", "lo", (F.col("lo") + F.lit(length)).cast("int").alias("hi")))
-    hits = hits.groupBy("id", "fp").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("found"))
-    waiting = half.where("waits").select("id", "fp", "text", "settled").join(hits, ["id", "fp"], "left")
-    return mapped(half.where("NOT waits").select("id", "fp", "text", "settled"), _settle(False), _OUT).unionAll(mapped(waiting, _settle(True), _OUT))
+    hits = stored(hits, "hits")
+    dropped(half)
+    every = settled.select("id", "fp", F.col("start").alias("lo"), (F.col("start") + F.col("many") + F.lit(length - 1)).alias("hi")).unionAll(hits)
+    spans = stored(every.distinct().groupBy("id", "fp").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("spans")), "spans")
+    dropped(live, contents, hits)
+    return spans
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, spans, kept) for each row of docs (doc_id, text).
+
+    Each byte goes that is covered by a string of `length` bytes that starts anywhere else too, in the same document or
+    another; a repeated row is another document. Texts are their UTF-8 bytes (null: empty), strings never cross texts,
+    and all are judged on the input. spans: start and end of each maximal removed run, one after another. kept: the
+    bytes that are left, in one. memory bounds what a shard's sorting queues hold before they go to disk.
+    """
+    spans = repeated_spans(docs, length, memory)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(), F.coalesce("text", F.lit("")).alias("text"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            out = [_cut(t, np.array(s or [], np.int64).reshape(-1, 2)) for t, s in zip(_raw(batch.column("text")), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in out], pa.list_(pa.int64())), pa.array([k for _, k in out], pa.binary())], names=["doc_id", "spans", "kept"])
+
+    done = mapped(rows.join(spans, ["id", "fp"], "left").select("doc_id", "text", "spans"), kernel, "doc_id long, spans array<long>, kept binary")
+    # each removed run's end less its start
+    removed = F.aggregate(F.transform("spans", lambda x, k: F.when(k % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    done = done.withColumn("n_removed", removed)
+    return done.select("doc_id", (F.octet_length("kept").cast("long") + F.col("n_removed")).alias("n_bytes"), "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), "spans", "kept")
+
+
+def _raw(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated strings, as characters (a cut one becomes U+FFFD), with n_chars anew; a document of which nothing is left goes."""
-    left = _judged(docs, LENGTH, MEMORY).dropDuplicates(["id", "fp"]).select(F.col("id").alias("_id"), F.col("fp").alias("_fp"), F.col("n_removed").alias("_gone"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_kept"))
-    key = dict(zip(("_id", "_fp"), _key(), strict=True))
-    named = docs.withColumns({**key, "_no_text": F.col("text").isNull()}).drop("text")
-    whole = named.join(left, ["_id", "_fp"]).where("_gone = 0 OR _kept <> ''")
-    new = {"text": F.when(~F.col("_no_text"), F.col("_kept"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_gone") > 0, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return whole.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """Texts without their repeated strings, as characters (a cut one becomes U+FFFD), with n_chars anew. A row of which
+    nothing is left goes; rows that lose nothing, those without a text among them, stay as they are, whatever ids they
+    share and whatever other columns they have."""
+    spans = repeated_spans(docs)
+    row = docs.schema
+    of = {f.name: k for k, f in enumerate(row.fields)}
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            cut = batch.column("spans")
+            if cut.null_count == len(cut):
+                yield batch.select(["row"])  # the same field as below, so that all batches have one schema
+                continue
+            texts = batch.column("text").to_pylist()
+            stays = np.ones(len(texts), bool)
+            for k in np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                texts[k] = _cut(texts[k].encode(), np.array(cut[k].as_py(), np.int64).reshape(-1, 2))[1].decode("utf-8", "replace")
+                stays[k] = bool(texts[k])
+            whole = batch.column("row")
+            fields = whole.flatten()
+            fields[of["text"]] = pa.array(texts, whole.type.field(of["text"]).type)
+            if "n_chars" in of:
+                kind = whole.type.field(of["n_chars"]).type
+                now = pa.array([len(t) if t is not None else None for t in texts]).cast(kind)
+                fields[of["n_chars"]] = pc.if_else(cut.is_valid(), now, fields[of["n_chars"]])
+            new = pa.StructArray.from_arrays(fields, fields=list(whole.type))
+            yield pa.RecordBatch.from_arrays([new.filter(pa.array(stays))], schema=pa.schema([batch.schema.field("row")]))
+
+    joined = docs.select(F.struct("*").alias("row"), *_key()).join(spans, ["id", "fp"], "left").select("row", F.col("row")["text"].alias("text"), "spans")
+    return mapped(joined, kernel, StructType([StructField("row", row)])).select("row.*")
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

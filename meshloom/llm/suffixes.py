@@ -7,9 +7,11 @@ when the scan reaches its bucket. So all buckets' queues together are a monotone
 tuples outgrow the memory given to them is kept in a file and read back in sequence. Scans go by blocks, so that the
 work is done on arrays.
 
-The sorted order of the leftmost-S substrings comes from a first induction; where those repeat, their names form the
-shorter string whose suffixes are ranked before the second induction. That string's ranking doubles the compared length
-in each round and touches unresolved ranks only.
+The sorted order of the leftmost-S substrings comes from a first induction. Neighbours are compared symbol by symbol and
+named; where names repeat, they form a shorter string, which is sorted in the same way, by recursion, if its tuples
+outgrow the memory, and in memory otherwise (each round doubles the compared length and touches unresolved ranks only).
+The recursion's common prefixes, counted in names, carry over: names that agree stand for symbols that agree, so only
+what follows them is compared. No hash decides anything here.
 """
 
 from __future__ import annotations
@@ -18,9 +20,7 @@ import tempfile
 
 import numpy as np
 
-from .common import mix, powers
-
-_BASE = 0x9E3779B97F4A7C15 | 1
+NAME_BYTES = 24  # of a name and its tuple in memory
 
 
 class Queues:
@@ -201,21 +201,39 @@ def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, shared: np.ndarray
     return np.concatenate(sa[::-1]), np.concatenate(ells[::-1]) if lcp else None
 
 
-class _Hashes:
-    """Hashes of spans of a symbol string."""
-
-    def __init__(self, t: np.ndarray) -> None:
-        n = len(t)
-        self.down = powers(pow(_BASE, -1, 1 << 64), n + 1)
-        terms = mix(np.arange(1, int(t.max()) + 2, dtype=np.uint64) * np.uint64(_BASE))[t] * powers(_BASE, n)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.sums[b] - self.sums[a]) * self.down[a]
-
-
-def ranked(names: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a string of names in order, by at least the first `depth` names."""
+def _lanes(t: np.ndarray) -> tuple[np.ndarray, int]:
+    """Several symbols from each position on as one number, and how many; zeros follow the end."""
+    most = int(t.max()) + 2
+    per = 4 if most < 1 << 16 else 2 if most < 1 << 32 else 1
+    padded = np.zeros(len(t) + per, np.uint64)
+    padded[: len(t)] = t.astype(np.uint64) + np.uint64(1)
+    out = np.zeros(len(t) + 1, np.uint64)
+    for k in range(per):
+        out |= padded[k : k + len(out)] << np.uint64(64 // per * k)
+    return out, per
+
+
+def common_prefixes(lanes: tuple[np.ndarray, int], n: int, a: np.ndarray, b: np.ndarray, known: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at a and b (a != b) share, up to `most`, of which `known` are known to agree."""
+    lane, per = lanes
+    shift = 64 // per
+    out = np.minimum(known, most)
+    live = np.flatnonzero(out < most)
+    at = out[live]
+    while len(live):
+        x = lane[a[live] + at] ^ lane[b[live] + at]
+        low = x & (~x + np.uint64(1))
+        same = np.where(x == 0, per, np.bitwise_count(low - np.uint64(1)) // shift).astype(np.int64)
+        at = at + same
+        on = (same == per) & (at < most[live])
+        out[live] = at
+        live, at = live[on], at[on]
+    return np.minimum(out, most)
+
+
+def ranked(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a string of names in order, by at least the first `depth` names, and how many names each surely shares
+    with the one before it (half of what it does share, at least, or `depth`)."""
     n = len(names)
     order = np.argsort(names, kind="stable")
     sorted_names = names[order]
@@ -224,6 +242,7 @@ def ranked(names: np.ndarray, depth: int) -> np.ndarray:
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)
     rank[order], rank[n] = start, -1
+    agree = np.where(new, 0, depth)
     h = 1
     open_ = np.flatnonzero(~new | np.append(~new[1:], False))
     while len(open_) and h < depth:
@@ -232,12 +251,19 @@ def ranked(names: np.ndarray, depth: int) -> np.ndarray:
         by = np.lexsort((second, group))
         item, group, second = item[by], group[by], second[by]
         order[open_] = item
-        new = np.ones(len(item), bool)
-        new[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
+        head = np.ones(len(item), bool)
+        head[1:] = group[1:] != group[:-1]
+        new = head.copy()
+        new[1:] |= second[1:] != second[:-1]
+        agree[open_[new & ~head]] = h
         rank[item] = open_[np.maximum.accumulate(np.where(new, np.arange(len(item)), 0))]
         open_ = open_[~new | np.append(~new[1:], False)]
         h *= 2
-    return order
+    return order, agree
+
+
+def _in_memory(names: np.ndarray, depth: int, memory: int) -> tuple[np.ndarray, np.ndarray]:
+    return ranked(names, depth)
 
 
 def suffix_array(t: np.ndarray, cap: int, memory: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -258,22 +284,25 @@ def suffix_array(t: np.ndarray, cap: int, memory: int = 64 << 20) -> tuple[np.nd
         sorted_lms = order[is_lms[order]]
         place = np.empty(n, np.int32)
         place[lms] = np.arange(len(lms), dtype=np.int32)
-        ends = np.minimum(np.append(lms[1:], n - 1) + 1, n)
-        h = _Hashes(t)
-        code = h.of(lms, ends) + (ends - lms).astype(np.uint64)
-        code[-1] += np.uint64(1)  # the last one ends with the string
+        size = np.append(np.diff(lms) + 1, n - lms[-1]).astype(np.int64)  # each ends with the next one's first symbol
         which = place[sorted_lms]
-        same = code[which[1:]] == code[which[:-1]]
-        names = np.empty(len(lms), np.int64)
-        names[which] = np.cumsum(np.append(0, ~same))
-        lms = lms[ranked(names, cap // 2 + 2)] if same.any() else sorted_lms
+        lanes = _lanes(t)
+        a, b = sorted_lms[:-1].astype(np.int64), sorted_lms[1:].astype(np.int64)
+        both = np.minimum(size[which[:-1]], size[which[1:]])
+        same = (size[which[:-1]] == size[which[1:]]) & (which[:-1] != len(lms) - 1) & (which[1:] != len(lms) - 1)  # the last one ends with the string
+        on = np.flatnonzero(same)
+        same[on] = common_prefixes(lanes, n, a[on], b[on], np.zeros(len(on), np.int64), both[on]) == both[on]
+        known = np.zeros(len(a), np.int64)
+        if same.any():
+            names = np.empty(len(lms), np.int64)
+            names[which] = np.cumsum(np.append(0, ~same))
+            which, agree = (suffix_array if len(names) * NAME_BYTES > memory else _in_memory)(names, cap // 2 + 2, memory)
+            known = lms[np.minimum(which[:-1] + agree[1:], len(lms) - 1)] - lms[which[:-1]].astype(np.int64)
+            lms = lms[which]
+        else:
+            lms = sorted_lms
         a, b = lms[:-1].astype(np.int64), lms[1:].astype(np.int64)
-        low, high = np.zeros(len(a), np.int64), np.minimum(cap, n - np.maximum(a, b))
-        while (live := low < high).any():
-            mid = (low + high + 1) // 2
-            equal = h.of(a, a + mid) == h.of(b, b + mid)
-            low, high = np.where(live & equal, mid, low), np.where(live & ~equal, mid - 1, high)
-        shared = np.append(0, low).astype(np.int32)
+        shared = np.append(0, common_prefixes(lanes, n, a, b, known, np.minimum(cap, n - np.maximum(a, b)))).astype(np.int32)
     else:
         shared = np.zeros(0, np.int32)
     return induce(t, is_s, lms, shared, cap, memory)
