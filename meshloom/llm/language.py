@@ -19,8 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import Spans, mapped, mix, slices, stored, text_bytes
+from .common import Spans, mapped, piece_hashes, slices, text_bytes
 
 BUCKETS = 1 << 16
 AFFIXES = (1, 2, 3, 4, 5)
@@ -94,7 +95,7 @@ def features(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes: np.
 
 def potentials(model: Model, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one row for each different word, each word's row)."""
-    hashes = Spans(raw).of(starts, stops)
+    hashes = piece_hashes(raw, starts, stops)
     _, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     rows, first = features(raw, starts[one], stops[one], hashes[one], model.lexicon, model.owner, len(model.langs))
     return np.add.reduceat(model.weights[rows], first, axis=0), inverse
@@ -176,7 +177,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, run: int = 16, len
     if not len(starts) or many < 2:
         return model
     rng = np.random.Generator(np.random.PCG64(seed))
-    hashes = Spans(raw).of(starts, stops)
+    hashes = piece_hashes(raw, starts, stops)
     words, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     seen = np.bincount(inverse * many + y, minlength=len(words) * many).reshape(-1, many)
     sure = (seen.sum(axis=1) >= 3) & (seen.max(axis=1) >= 0.9 * seen.sum(axis=1))
@@ -257,12 +258,13 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, rows_a_language: int = 150, most_languages: int = 200) -> Model:
+def train(docs: DataFrame, rows_a_language: int = 150, most_bytes: int = 1 << 16) -> Model:
     """fit() on about `rows_a_language` rows of each language (all, if fewer), chosen by a hash of doc_id: rows with a
-    language, an id and a text that are not held out. The `most_languages` languages with the most rows are learned. The
-    bounds do not grow with the corpus; counts cover all of it, and rows are picked in the scan, without a shuffle."""
-    labelled = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()
+    language, an id and a text of `most_bytes` bytes at most that are not held out. Every language that has such a row is
+    learned. The sample is bounded by both parameters for each language; counts cover the whole corpus, and rows are
+    picked in the scan, without a shuffle."""
+    labelled = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= most_bytes))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not counts:
         return fit([], [])
     below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, (rows_a_language << 30) // r["n"]))])
@@ -294,6 +296,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """Rejects documents that have no language (und), or whose words lean to none (a mean probability under `least`)."""
-    bad = stored(identified(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id").distinct(), "rejected")
-    return docs if bad.isEmpty() else docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rejects rows whose text has no language (und), or whose words lean to none (a mean probability under `least`). Each
+    row is judged by its own text, whatever ids are missing or shared, and leaves with all its columns."""
+    shared = spark.sparkContext.broadcast(train(docs))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 19):
+            lang, score = documents(shared.value, batch.column("text"))
+            yield batch.select(["row"]).filter(pa.array((np.array(lang, object) != UNKNOWN) & (score >= least)))
+
+    return mapped(docs.select(F.struct("*").alias("row"), "text"), kernel, StructType([StructField("row", docs.schema)])).select("row.*")

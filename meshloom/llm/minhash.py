@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, mapped, mix, records, runs, slices, stored, text_bytes, word_hashes
+from .common import dropped, gathered, mapped, mix, records, runs, slices, stored, text_bytes, word_hashes
 from .components import components
 
 BANDS, ROWS = 21, 6
@@ -33,8 +33,8 @@ BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20))
-_A = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_C = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)[:, None]
+_A = (_rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+_C = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)[:, None]
 _BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -58,20 +58,20 @@ def shingle_sets(raw: np.ndarray, ends: np.ndarray, size: int) -> list[np.ndarra
 
 
 def minima(values: np.ndarray) -> np.ndarray:
-    """The least value of each of the universal functions a*x + c (mod 2**32, a odd)."""
-    low = values.astype(np.uint32)
-    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 2048):
-        part = low[at : at + 2048]
-        hashed = _A * part if len(part) < 2048 else np.multiply(_A, part, out=_scratch())
+    """The least value of each of the universal functions (a*x + c mod 2**64) >> 32 of 32-bit x."""
+    low = values & np.uint64(0xFFFFFFFF)
+    least = np.full(MINIMA, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(low), 1024):
+        part = low[at : at + 1024]
+        hashed = _A * part if len(part) < 1024 else np.multiply(_A, part, out=_scratch())
         hashed += _C
         np.minimum(least, hashed.min(axis=1), out=least)
-    return least
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def _scratch(held: list[np.ndarray] = []) -> np.ndarray:  # noqa: B006  one buffer for each worker
     if not held:
-        held.append(np.empty((MINIMA, 2048), np.uint32))
+        held.append(np.empty((MINIMA, 1024), np.uint64))
     return held[0]
 
 
@@ -246,17 +246,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, bands:
     )
     members = classes.select("doc_id", "sig", F.explode("bands").alias("key")).join(buckets, "key")
     agreeing = mapped(gathered(paired(members), ["key", "pair"]), _agreeing(int(agree * MINIMA)), "u long, v long")
-    groups = stored(components(agreeing).withColumnRenamed("component", "key"), "groups")
+    candidates = components(agreeing)
+    groups = candidates.withColumnRenamed("component", "key")
     sizes = groups.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    wanted = groups.join(stored(sizes.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("chunks")), "chunks"), "key")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id")
+    chunks = stored(sizes.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("chunks")), "chunks")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(groups.join(chunks, "key").withColumnRenamed("node", "doc_id"), "doc_id")
     sets = mapped(texts, _sets(shingle), "doc_id long, key long, chunks long, shingles binary")
     links = mapped(gathered(paired(sets), ["key", "pair"]), _linked(percent), "u long, v long")
-    found = stored(components(links), "components")
+    found = components(links)
     named = classes.select("fp1", "fp2", "n_shingles", F.col("doc_id").alias("node")).join(found, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    named = stored(named, "named")
     each = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return each.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    out = stored(each.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept")), "near")
+    dropped(signed, classes, buckets, candidates, chunks, found, named)
+    return out
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +268,24 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 0.80 and more stays; of repeated rows of one id, one row. Rows without an id stay."""
-    keep = near_duplicates(docs, percent=80, bands=25, rows=5, agree=0.62).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group of 0.80 and more stays, with all its columns; texts without a word all stay.
+
+    Rows that have no id, or share one, are told apart by their texts: each different text of such rows is a document of
+    its own (with a number above all ids, so it stays only where its group has no other), and of rows that agree in id
+    and text one stays."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    again = stored(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "again")
+    limits = dict(percent=80, bands=25, rows=5, agree=0.62)
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("node"))
+    if again.isEmpty():
+        keep = near_duplicates(docs, **limits).where("kept").select(F.col("doc_id").alias("node"))
+        return packed.join(keep, "node", "left_semi").select("row.*")
+    above = ids.agg(F.max("doc_id")).first()[0] or 0
+    shared = F.col("node").eqNullSafe(F.col("doc_id"))
+    odd = packed.join(again, shared, "left_semi").select("row", "node", F.col("row")["text"].alias("text"))
+    first = odd.groupBy("node", "text").agg(F.first("row").alias("row"))
+    first = stored(first.select("row", "text", (F.monotonically_increasing_id() + F.lit(above + 1)).alias("node")), "odd")
+    plain = packed.join(again, shared, "left_anti")
+    nodes = plain.select("node", F.col("row")["text"].alias("text")).unionAll(first.select("node", "text"))
+    keep = near_duplicates(nodes.withColumnRenamed("node", "doc_id"), **limits).where("kept").select(F.col("doc_id").alias("node"))
+    return plain.unionAll(first.select("row", "node")).join(keep, "node", "left_semi").select("row.*")

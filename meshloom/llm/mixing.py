@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, dropped, stored
 
 UNIT = 1_000_000  # rates are whole millionths, so that prefix sums are exact and reruns agree
 ROWS_A_BUCKET = 2_000
+BUCKETS_A_GROUP = 4_000
 
 
 def words(text: str = "text"):
@@ -65,7 +66,9 @@ def rates(cells: DataFrame, goals: DataFrame, cap: float = 2.0, rounds: int = 60
         step = F.col("lam") - F.try_divide(off, F.col("slope"))
         new = F.when(F.col("slope") > 0, F.when((step > lo) & (step < hi), step)).otherwise(None)
         moved = state.join(sums, F.col("source").eqNullSafe(F.col("s"))).withColumn("done", done).withColumn("lo2", lo).withColumn("hi2", hi).withColumn("new", F.coalesce(new, (F.col("lo2") + F.col("hi2")) / 2))
+        before = state
         state = stored(moved.select("source", "target", "source_size", F.when(F.col("done"), F.col("lam")).otherwise(F.col("new")).alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "done"), "multipliers")
+        dropped(before)
         if state.where("NOT done").isEmpty():
             break
     fixed = base.join(state.select(F.col("source").alias("s"), F.round("lam", 7).alias("lam")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -79,9 +82,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     size counts runs of bytes other than ASCII white space (null or blank text: 0). A null source is a source. Rates
     become copies by systematic rounding: within a source, documents stand by size, then by a hash of the id, and a
     document takes one more copy wherever the running sum of its rate's fraction passes a whole number. So a source's
-    words miss its target by about one document, however few it has. Running sums are built in three levels (sizes of a
-    source, hash buckets of a size, documents of a bucket); no window holds more rows than a source has sizes, or a
-    bucket has documents. Rows that agree in id, source and size share one bucket, in any order.
+    words miss its target by about one document, however few it has. Running sums are built in four levels (sizes of a
+    source, groups of hash buckets of a size, buckets of a group, documents of a bucket), so no window holds more rows than
+    a source has sizes, a size has groups (documents / 8,000,000), a group has buckets, or a bucket has documents. Rows that agree in id, source and size share one bucket, in any order.
     """
     d = stored(docs.select("doc_id", "source", words().alias("size")), "sizes")
     cells = stored(d.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
@@ -92,9 +95,13 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     part = F.col("rate") % UNIT
     up = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     starts = tilted.withColumn("part", part).withColumn("before", F.coalesce(F.sum(F.col("part") * F.col("n")).over(up), F.lit(0)))
-    within = Window.partitionBy("source", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    counted = d.groupBy("source", "size", "b").agg(F.count("*").alias("k")).withColumn("ahead", F.coalesce(F.sum("k").over(within), F.lit(0)))
-    c, s = counted.alias("c"), starts.alias("s")
+    counted = d.groupBy("source", "size", "b").agg(F.count("*").alias("k")).withColumn("g", F.floor(F.col("b") / BUCKETS_A_GROUP))
+    over_groups = Window.partitionBy("source", "size").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = counted.groupBy("source", "size", "g").agg(F.sum("k").alias("k")).withColumn("base", F.coalesce(F.sum("k").over(over_groups), F.lit(0))).drop("k").alias("g")
+    within = Window.partitionBy("source", "size", "g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counted.withColumn("inside", F.coalesce(F.sum("k").over(within), F.lit(0))).alias("c")
+    c = inside.join(groups, F.col("c.source").eqNullSafe(F.col("g.source")) & (F.col("c.size") == F.col("g.size")) & (F.col("c.g") == F.col("g.g")))
+    c, s = c.select("c.source", "c.size", "b", (F.col("inside") + F.col("base")).alias("ahead")).alias("c"), starts.alias("s")
     at = c.join(s, F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.size") == F.col("s.size"))).select("c.source", "c.size", "c.b", "ahead", "before", "rate", "part", "source_size", "target")
     ranked = d.withColumn("at", F.row_number().over(Window.partitionBy("source", "size", "b").orderBy("h", "doc_id"))).alias("d")
     at = at.alias("a")
@@ -110,9 +117,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that agree in id, source and size are taken alike."""
-    per = mixed(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    per = per.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    sized = docs.withColumn("_words", words())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return sized.join(per, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it, with all its columns. Rows that agree in id, source and size are taken alike."""
+    per = mixed(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), words().alias("own_size"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
+    return packed.join(per, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
