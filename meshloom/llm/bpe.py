@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, mapped, slices
+from .common import classes, held, joined, mapped, slices, text_bytes
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CACHED_UNITS = 250_000
 CACHED_LENGTH = 200
+SLICE = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,69 +37,103 @@ def byte_characters() -> list[str]:
 def build(ranks: dict[bytes, int]):
     """A tokenizer of the tokenizers library with the merges that the ranks imply: any two tokens whose joined bytes
     are a token may merge, the lowest joined rank first."""
-    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
     char = byte_characters()
     shown = {t: "".join(char[b] for b in t) for t in ranks}
     merges = [(shown[t[:i]], shown[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
     tok = Tokenizer(models.BPE(vocab={s: ranks[t] for t, s in shown.items()}, merges=merges, ignore_merges=True))
-    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    split = pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated")
+    tok.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     tok.decoder = decoders.ByteLevel()
     return tok
 
 
-class Encoder:
-    """Encodes texts by units that the pattern always keeps apart, each once.
+_SPACE = np.zeros(256, bool)  # also the separators 0x1C to 0x1F, which some call white space
+_SPACE[[0x20, *range(9, 14), *range(0x1C, 0x20)]] = True
+
+
+def _white(raw: np.ndarray) -> np.ndarray:
+    """Bytes of white space, in ASCII or beyond; E2 80 xx counts as a whole, which only keeps more text together."""
+    white = _SPACE[raw]
+    if len(raw) > 1 and (raw > 0xC1).any():
+        two = ((raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0))) | ((raw[:-1] == 0xE1) & (raw[1:] == 0x9A)) | ((raw[:-1] == 0xE2) & ((raw[1:] == 0x80) | (raw[1:] == 0x81))) | ((raw[:-1] == 0xE3) & (raw[1:] == 0x80))
+        at = np.flatnonzero(two)
+        for k in range(3):
+            white[np.minimum(at + k, len(raw) - 1)] = True
+    return white
+
+
+def units(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, stops, whether it follows and holds no white space but a first blank) of pieces of rows of bytes that the
+    pattern always keeps apart: a lone blank between other characters begins a match, a lone line end is one."""
+    white = _white(raw)
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[ends] = True
+    lone = np.zeros(len(raw), bool)
+    lone[1:-1] = white[1:-1] & _SPACE[raw[1:-1]] & ~white[:-2] & ~white[2:] & ~edge[1:-2] & ~edge[2:-1]
+    # a separator of 0x1C to 0x1F is no white space to the pattern, so nothing is cut there
+    lone &= (raw < 0x1C) | (raw == 0x20)
+    cut = edge.copy()
+    cut[:-1] |= lone
+    cut[1:] |= lone & (raw != 0x20)
+    cut[-1] = len(raw) > 0
+    at = np.flatnonzero(cut)
+    starts, stops = at[:-1], at[1:]
+    count = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(white, out=count[1:])
+    plain = (raw[starts] == 0x20) & lone[starts] & (count[stops] - count[starts] == 1) if len(starts) else np.zeros(0, bool)
+    return starts, stops, plain
 
-    A single space between two other characters always begins a match of the pattern, so a text may be cut before it.
-    Texts in which some piece is empty or has white space at an end are encoded in one go.
-    """
+
+class Encoder:
+    """Encodes a column by units that the pattern always keeps apart, each different unit once. New units that are a
+    blank and what follows up to the next are encoded together, as the one text they make; token sizes tell them apart.
+    Units are remembered by their bytes, in two generations, so that a full memory forgets the older half."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.ranks = read_ranks(path)
         self.tok = build(self.ranks)
-        self.known: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
+        self.size = np.zeros(max(self.ranks.values(), default=0) + 1, np.int64)
+        self.size[list(self.ranks.values())] = [len(t) for t in self.ranks]
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str], spaced: int, local: dict[str, bytes | None]) -> None:
-        clean = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        for p, ids in zip(clean, self._ids([" " + p if spaced else p for p in clean]), strict=True):
-            (self.known[spaced] if len(p) <= CACHED_LENGTH else local)[p] = ids
-        local.update(dict.fromkeys(pieces.difference(clean)))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as bytes of 32-bit integers."""
-        if sum(map(len, self.known)) > CACHED_UNITS:
-            for k in self.known:
-                k.clear()
-        split = [t.split(" ") if t else None for t in texts]
-        first, rest = self.known
-        locals_: tuple[dict, dict] = ({}, {})
-        self._learn({s[0] for s in split if s and s[0] not in first}, 0, locals_[0])
-        new: set[str] = set()
-        for s in split:
-            if s:
-                new.update(p for p in s[1:] if p not in rest)
-        self._learn(new, 1, locals_[1])
-        odd_first, odd_rest = locals_
-        out, whole = [], []
-        for i, s in enumerate(split):
-            if s is None:
-                out.append(b"")
-                continue
-            head = first[s[0]] if s[0] in first else odd_first[s[0]]
-            tail = [rest[p] if p in rest else odd_rest[p] for p in s[1:]] if odd_rest else [rest[p] for p in s[1:]]
-            if head is None or None in tail:
-                whole.append(i)
-                out.append(b"")
-            else:
-                out.append(head + b"".join(tail))
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+    def _learn(self, keys: list[bytes], plain: list[bool]) -> dict[bytes, bytes]:
+        together = [k for k, p in zip(keys, plain, strict=True) if p]
+        apart = [k for k, p in zip(keys, plain, strict=True) if not p]
+        found = dict(zip(apart, self._ids([k.decode() for k in apart]), strict=True))
+        if together:
+            ids = self._ids([b"".join(together).decode()])[0]
+            ends = np.cumsum(self.size[np.frombuffer(ids, np.int32)])
+            at = (4 * (np.searchsorted(ends, np.cumsum([len(k) for k in together])) + 1)).tolist()
+            found.update((k, ids[a:b]) for k, a, b in zip(together, [0, *at], at, strict=False))
+        return found
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, where each row's begin and one more at the end)."""
+        raw, ends = text_bytes(column)
+        starts, stops, plain = units(raw, ends)
+        one, inverse = classes(raw, starts, stops)
+        data = raw.tobytes()
+        keys = [data[a:b] for a, b in zip(starts[one].tolist(), stops[one].tolist(), strict=True)]
+        if len(self.known) > CACHED_UNITS:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        for k in keys:
+            if k not in known and k in old:
+                known[k] = old[k]
+        ask = {k: p for k, p in zip(keys, plain[one].tolist(), strict=True) if k not in known}
+        new = self._learn(list(ask), list(ask.values())) if ask else {}
+        parts = [known[k] if k in known else new[k] for k in keys]
+        known.update((k, v) for k, v in new.items() if len(k) <= CACHED_LENGTH)
+        size = np.array([len(p) >> 2 for p in parts], np.int64)
+        ids, upto = joined(np.frombuffer(b"".join(parts), np.int32), np.cumsum(size) - size, size, inverse)
+        return ids, upto[np.searchsorted(starts, ends)]
 
 
 class Decoder:
@@ -106,55 +143,69 @@ class Decoder:
         ranks = read_ranks(path)
         back = {c: b for b, c in enumerate(byte_characters())}
         shown = {i: "".join(byte_characters()[b] for b in t) for t, i in ranks.items()}
-        self.table = {i: bytes(back[c] for c in s) for i, s in shown.items()}
+        table = [bytes(back[c] for c in shown.get(i, "")) for i in range(max(shown, default=-1) + 1)]
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.array([len(t) for t in table], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def __call__(self, ids: np.ndarray, row: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of rows of ids, and where each row's begin and one more at the end."""
+        raw, upto = joined(self.flat, self.start, self.size, ids)
+        return raw.tobytes(), upto[row]
+
 
-    def __call__(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+class Decimals:
+    """Ids in decimal, each followed by a comma."""
 
+    def __init__(self, most: int) -> None:
+        table = [b"%d," % i for i in range(most + 1)]
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.array([len(t) for t in table], np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
-def _lists(parts: list[bytes], kind: pa.DataType = pa.int32()) -> pa.Array:
-    raw = b"".join(parts)
-    ends = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) // 4 for p in parts], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(kind, len(raw) // 4, [None, pa.py_buffer(raw)]))
+    __call__ = Decoder.__call__
+
+
+def _lists(flat: np.ndarray, row: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(row.astype(np.int32)), pa.array(flat.astype(np.int32, copy=False)))
 
 
 def _encode(path: str, offsets: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = held(Encoder, path)
-        if offsets:
-            size = np.zeros(max(encode.ranks.values(), default=0) + 1, np.int64)
-            size[list(encode.ranks.values())] = [len(t) for t in encode.ranks]
-        for batch in slices(batches, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            parts = encode(texts)
-            cols = [batch.column("doc_id"), _lists(parts)]
+        for batch in slices(batches, "text", SLICE):
+            ids, row = encode(batch.column("text"))
+            cols = [batch.column("doc_id"), _lists(ids, row)]
             if offsets:
-                spans: list[list[bytes]] = [[], [], [], []]
-                for t, p in zip(texts, parts, strict=True):
-                    ends = np.cumsum(size[np.frombuffer(p, np.int32)])
-                    starts = ends - size[np.frombuffer(p, np.int32)]
-                    raw = np.frombuffer(t.encode(), np.uint8)
-                    char = np.cumsum((raw & 0xC0) != 0x80) - 1
-                    for k, x in enumerate((starts, ends, char[starts], char[ends - 1] + 1) if len(ends) else (ends,) * 4):
-                        spans[k].append(x.astype(np.int32).tobytes())
-                cols += [_lists(s) for s in spans]
+                raw, at = text_bytes(batch.column("text"))
+                ends = np.cumsum(encode.size[ids])
+                starts = ends - encode.size[ids]
+                char = np.append(np.cumsum((raw & 0xC0) != 0x80) - 1, 0)
+                byte0 = np.repeat(at[:-1], np.diff(row))
+                char0 = char[byte0]
+                cols += [_lists(x, row) for x in (starts - byte0, ends - byte0, char[starts] - char0, char[ends - 1] + 1 - char0)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "byte_start", "byte_end", "char_start", "char_end"][: len(cols)])
 
     return kernel
 
 
-def _decode(path: str, text: bool):
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows of a list column and where each row's begin; a null row has none."""
+    size = np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()], np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+
+
+def _decode(path: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = held(Decoder, path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                raw = [None if i is None else decode(i) for i in part.column("ids").to_pylist()]
-                cols = [part.column("doc_id"), part.column("ids"), pa.array(raw, pa.binary())]
-                if text:
-                    cols.append(pa.array([None if r is None else r.decode("utf-8", "replace") for r in raw], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "raw", "text"][: len(cols)])
+                ids = part.column("ids")
+                data, upto = decode(*_flat(ids))
+                raw = [data[a:b] if ok else None for a, b, ok in zip(upto.tolist(), upto[1:].tolist(), ids.is_valid().to_pylist(), strict=False)]
+                text = [None if r is None else r.decode("utf-8", "replace") for r in raw]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(raw, pa.binary()), pa.array(text, pa.string())], names=["doc_id", "ids", "raw", "text"])
 
     return kernel
 
@@ -179,28 +230,31 @@ def decoded(tokens: DataFrame, path: str = RANKS) -> DataFrame:
     Bytes are joined before they are read as UTF-8, so characters that tokens split come whole; ids that end within a
     character leave U+FFFD in text, and raw keeps their bytes. Null ids give null.
     """
-    return mapped(tokens.select("doc_id", "ids"), _decode(path, True), "doc_id long, ids array<int>, raw binary, text string")
+    return mapped(tokens.select("doc_id", "ids"), _decode(path), "doc_id long, ids array<int>, raw binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """(doc_id, ids, raw) for each row: encoded, and decoded again from the ids, in one pass of one worker."""
-    encode, decode = _encode(path, False), _decode(path, False)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row: encoded, and decoded again from the ids, in one pass of
+    one worker, from which only digests leave. ids_sha256 is of the decimal ids joined by commas."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return decode(encode(batches))
-
-    return mapped(_texts(docs), kernel, "doc_id long, ids array<int>, raw binary")
-
+        encode, decode = held(Encoder, path), held(Decoder, path)
+        decimal = held(Decimals, len(decode.size) - 1)
+        for batch in slices(batches, "text", SLICE):
+            ids, row = encode(batch.column("text"))
+            shown, a = decimal(ids, row)
+            raw, b = decode(ids, row)
+            of_ids = [hashlib.sha256(shown[x : max(x, y - 1)]).hexdigest() for x, y in zip(a.tolist(), a[1:].tolist(), strict=False)]
+            of_raw = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(b.tolist(), b[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(row)), pa.array(of_ids, pa.string()), pa.array(of_raw, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-def _digests(docs: DataFrame) -> DataFrame:
-    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return round_trip(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("raw"), 256).alias("decoded_sha256"))
+    return mapped(_texts(docs), kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document; the last stage, so its columns are its own."""
-    return _digests(docs)
+    return round_trip(docs)
