@@ -134,3 +134,34 @@ def line_distance(p: Vec, origin: Vec, axis: Vec) -> Column:
 
 def interval_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
+
+
+def plane_foot(p: Vec, origin: Vec, n: Vec) -> Vec:
+    """The point of a plane that is nearest to p."""
+    return sub(p, scale(n, dot(sub(p, origin), n)))
+
+
+def cylinder_foot(p: Vec, origin: Vec, axis: Vec, radius: Column, height: Column) -> tuple[Vec, Column]:
+    """The point of a finite cylinder's wall that is nearest to p, and whether p lies beyond an end. A point on the axis has
+    its foot along the first vector across it."""
+    w = sub(p, origin)
+    t = dot(w, axis)
+    out = sub(w, scale(axis, t))
+    r = norm(out)
+    u, _ = basis(axis)
+    across = tuple(F.when(r > 1e-12, o / r).otherwise(k) for o, k in zip(out, u, strict=True))
+    return add(add(origin, scale(axis, F.greatest(F.lit(0.0), F.least(height, t)))), scale(across, radius)), (t < 0) | (t > height)
+
+
+def cylinder_through(p0: Vec, n0: Vec, p1: Vec, n1: Vec, least: float = 0.05) -> tuple[Vec, Vec, Column]:
+    """(axis, centre, radius) of the cylinder on which p0 and p1 lie with the normals n0 and n1: the axis is across both, and
+    the normals' lines meet on it. Null where the normals are nearly parallel. Normals that point apart give no axis; two
+    that oppose each other are parallel."""
+    c = cross(n0, n1)
+    size = norm(c)
+    good = size > least
+    axis = tuple(F.when(good, k / size) for k in c)
+    w = sub(p1, p0)
+    flat = sub(w, scale(axis, dot(w, axis)))
+    s = dot(cross(flat, n1), axis) / F.nullif(dot(cross(n0, n1), axis), F.lit(0.0))
+    return axis, add(p0, scale(n0, s)), F.abs(s)

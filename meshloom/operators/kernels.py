@@ -171,6 +171,65 @@ def segment(facet: DataFrame, angle_deg: float = 5.0, tolerance: float = 0.02, m
     return grouped(facet.select("mesh_id", "tri", "i0", "i1", "i2", *CORNERS), _segment(angle_deg, tolerance, macro, rms), SURFACE)
 
 
+def _ransac(tolerance: float, rounds: int, seed: int, widest: float | None):
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = Faces(pdf)
+        rng = np.random.Generator(np.random.PCG64(seed))
+        size = float(np.linalg.norm(np.ptp(f.p.reshape(-1, 3), axis=0)))
+        most = widest or max(25.0, 0.35 * size)
+        least = int(min(max(0.002 * len(f.tri), 16), 300))
+        free, rows, failures, found = np.ones(len(f.tri), bool), [], 0, 0
+        while failures < 25 and free.sum() >= max(least, 0.02 * len(f.tri)):
+            at, best, tried, need = np.flatnonzero(free), None, 0, rounds
+            while tried < need:
+                i, j = rng.choice(at, 2, replace=False)
+                tried += 1
+                c = np.cross(f.n[i], f.n[j])
+                s = np.linalg.norm(c)
+                if s < 0.05:
+                    continue
+                axis = c / s
+                w = f.c[j] - f.c[i]
+                w = w - axis * (w @ axis)
+                depth = float(np.cross(w, f.n[j]) @ axis) / s
+                r = abs(depth)
+                if not 0 < r <= most:
+                    continue
+                o = f.c[i] + f.n[i] * depth
+                out = f.c[at] - o
+                out -= np.outer(out @ axis, axis)
+                far = np.linalg.norm(out, axis=1)
+                on = at[(np.abs(far - r) <= tolerance) & (np.abs(f.n[at] @ axis) <= math.sin(0.45)) & (np.abs((f.n[at] * out).sum(axis=1)) >= 0.9 * far)]
+                if len(on) >= least and (best is None or len(on) > len(best[0])):
+                    best = (on, o, axis, r)
+                    share = min(0.999, (len(on) / len(at)) ** 2)
+                    need = min(rounds, max(4, int(math.log(0.01) / math.log(1 - share)) + 1))
+            if best is None or not (fit := _cylinder(f, best[0], tolerance)):
+                failures += 1
+                if best is None:
+                    break
+                free[best[0]] = False
+                continue
+            on = best[0]
+            free[on] = False
+            head = (found, *fit["o"], *fit["a"], fit["radius"], fit["height"], fit["span"], bool(fit["is_internal"]))
+            rows += [(*head[:1], int(f.tri[k]), *head[1:]) for k in on]
+            found += 1
+        out = pd.DataFrame(rows, columns=["surface_id", "tri", "x", "y", "z", "ax", "ay", "az", "radius", "height", "span", "is_internal"])
+        out.insert(0, "mesh_id", pdf["mesh_id"].iloc[0])
+        return out
+
+    return kernel
+
+
+def searched_cylinders(facet: DataFrame, tolerance: float = 0.35, rounds: int = 60, seed: int = 11, widest: float | None = None) -> DataFrame:
+    """(mesh_id, surface_id, tri, x..z, ax..az, radius, height, span, is_internal): cylinders found by drawing pairs of facets, each
+    of which fixes one, from the facets not yet taken. The draws follow the seed, fewer of them the more facets the best one
+    takes, so that a search has missed a better one with 1 % at most; it ends after 25 failures, or with 2 % of the facets left."""
+    schema = "mesh_id string, surface_id long, tri long, x double, y double, z double, ax double, ay double, az double, radius double, height double, span double, is_internal boolean"
+    return grouped(facet.select("mesh_id", "tri", "i0", "i1", "i2", *CORNERS), _ransac(tolerance, rounds, seed, widest), schema)
+
+
 def surfaces(segments: DataFrame) -> DataFrame:
     """One row a surface of segment()."""
     keep = [c.split()[0] for c in SURFACE.split(", ") if c.split()[0] not in ("mesh_id", "surface_id", "tri")]
@@ -209,12 +268,12 @@ PATTERN = "mesh_id string, pattern_id long, kind string, n long, cx double, cy d
 
 
 def _bolt_circles(pdf: pd.DataFrame) -> pd.DataFrame:
-    h = pdf.sort_values("id").reset_index(drop=True)
+    h = pdf.sort_values("id").reset_index(drop=True).fillna({"designation": ""})
     left, rows = list(range(len(h))), []
     pos, axis = h[["x", "y", "z"]].to_numpy(float), h[["ax", "ay", "az"]].to_numpy(float)
     while left:
         s = left[0]
-        alike = [i for i in left if abs(h.diameter[i] - h.diameter[s]) <= 0.20 and abs(h.depth[i] - h.depth[s]) <= 0.50 and axis[i] @ axis[s] >= 0.985 and abs((pos[i] - pos[s]) @ axis[s]) <= 0.50]
+        alike = [i for i in left if h.designation[i] == h.designation[s] and abs(h.diameter[i] - h.diameter[s]) <= 0.20 and abs(h.depth[i] - h.depth[s]) <= 0.50 and axis[i] @ axis[s] >= 0.985 and abs((pos[i] - pos[s]) @ axis[s]) <= 0.50]
         if len(alike) < 4:
             left.remove(s)
             continue
@@ -231,7 +290,7 @@ def _bolt_circles(pdf: pd.DataFrame) -> pd.DataFrame:
             t = np.sort(np.mod(np.arctan2(*(xy - c).T[::-1]), 2 * math.pi))
             gaps = np.degrees(np.append(np.diff(t), t[0] + 2 * math.pi - t[-1]))
             centre = u * c[0] + v * c[1] + axis[s] * (pos[s] @ axis[s])
-            rows.append((len(rows), "circle", len(on), *centre, 2 * r, float(np.median(gaps)), bool(np.ptp(gaps) <= 8), ",".join(map(str, h.id[on]))))
+            rows.append((len(rows), "circle", len(on), *centre, 2 * r, float(np.median(gaps)), bool(np.abs(gaps - 360 / len(on)).max() <= 4), ",".join(map(str, h.id[on]))))
             left = [i for i in left if i not in on]
         else:
             left.remove(s)
@@ -241,8 +300,10 @@ def _bolt_circles(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def bolt_circles(holes: DataFrame) -> DataFrame:
-    """Circles of four and more equal holes (mesh_id, id, x, y, z, ax, ay, az, diameter, depth): centre, pitch circle, step."""
-    return grouped(holes.select("mesh_id", "id", "x", "y", "z", "ax", "ay", "az", "diameter", "depth"), _bolt_circles, PATTERN)
+    """Circles of four and more equal holes (mesh_id, id, x, y, z, ax, ay, az, diameter, depth, and designation where threads
+    are known): centre, pitch circle, step; equispaced where no step is off by more than 4 degrees."""
+    thread = F.col("designation") if "designation" in holes.columns else F.lit(None).cast("string")
+    return grouped(holes.select("mesh_id", "id", "x", "y", "z", "ax", "ay", "az", "diameter", "depth", thread.alias("designation")), _bolt_circles, PATTERN)
 
 
 def _simplify(target: float | int, feature_deg: float, most: float):

@@ -60,7 +60,8 @@ def crossings(loops: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def straightened(loops: DataFrame, keys: list[str], slack: float = 1e-9) -> DataFrame:
-    """Loops without the vertices that lie on the line through both neighbours."""
+    """Loops without the vertices that lie on the line through both neighbours. (outlines.thinned_loops() holds each vertex
+    against the last one kept, which a slowly bending run needs.)"""
     w = Window.partitionBy(*keys, "loop_id").orderBy("ord")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     near = loops.select("*", *[F.coalesce(F.lag(c).over(w), F.last(c).over(whole)).alias(f"{c}0") for c in "xy"], *[F.coalesce(F.lead(c).over(w), F.first(c).over(whole)).alias(f"{c}2") for c in "xy"])

@@ -28,14 +28,12 @@ def distance_pairs(points: DataFrame, keys: list[str], most: float) -> DataFrame
     return own.join(other, [*keys, "gx", "gy", "gz"]).where(F.col("a") < F.col("b")).select(*keys, "a", "b", d.alias("distance")).where(F.col("distance") <= most)
 
 
-def sewn(vertex: DataFrame, triangle: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """triangle with corners of open edges that lie within the tolerance of each other taken as one, the least of their ids.
-    Chains of near points become one vertex whatever their order and length: the least of the chain's ids."""
+def chained(pairs: DataFrame, key: str = "mesh_id") -> DataFrame:
+    """(key, id, rep): ids that pairs (key, a, b) join, in chains of any length, each with the least id of its chain. The pairs
+    of one key are one kernel's work."""
     import numpy as np
     import pandas as pd
 
-    from .topology import boundary_half_edges
-
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         vid, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
         a, b = at.reshape(-1, 2).T
@@ -48,27 +46,44 @@ def sewn(vertex: DataFrame, triangle: DataFrame, tolerance: float = 0.005) -> Da
             if (new == lab).all():
                 break
             lab = new
-        return pd.DataFrame({"mesh_id": pdf["mesh_id"].iloc[0], "vid": vid, "rep": vid[lab]})
+        return pd.DataFrame({key: pdf[key].iloc[0], "id": vid, "rep": vid[lab]})
+
+    return pairs.select(key, "a", "b").groupBy(key).applyInPandas(label, f"{key} string, id long, rep long")
+
+
+def sewn(vertex: DataFrame, triangle: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """triangle with corners of open edges that lie within the tolerance of each other taken as one, the least of their ids.
+    Chains of near points become one vertex whatever their order and length: the least of the chain's ids."""
+    from .topology import boundary_half_edges
 
     loose = boundary_half_edges(triangle).select("mesh_id", F.explode(F.array("u", "v")).alias("vid")).distinct()
     pts = vertex.join(loose, ["mesh_id", "vid"]).select("mesh_id", F.col("vid").alias("id"), "x", "y", "z")
-    near = distance_pairs(pts, ["mesh_id"], tolerance).select("mesh_id", "a", "b")
-    to = near.groupBy("mesh_id").applyInPandas(label, "mesh_id string, vid long, rep long")
+    to = chained(distance_pairs(pts, ["mesh_id"], tolerance))
     out = triangle
     for k in range(3):
-        t = to.select("mesh_id", F.col("vid").alias(f"i{k}"), F.col("rep").alias(f"r{k}"))
+        t = to.select("mesh_id", F.col("id").alias(f"i{k}"), F.col("rep").alias(f"r{k}"))
         out = out.join(t, ["mesh_id", f"i{k}"], "left").withColumn(f"i{k}", F.coalesce(f"r{k}", f"i{k}")).drop(f"r{k}")
     return out.where("i0 <> i1 AND i1 <> i2 AND i0 <> i2").select("mesh_id", "tri", "i0", "i1", "i2")
 
 
 def nearest_in_rings(samples: DataFrame, targets: DataFrame, keys: list[str], step: float, rings: int = 2) -> DataFrame:
-    """samples with the nearest target of the first ring of cells (0..rings) that holds any; ties to the least id; null beyond."""
-    s = samples.select(*keys, F.col("id").alias("s"), *[F.col(c).cast("double").alias(f"s{c}") for c in "xyz"], *[cell(c, step).alias(f"g{c}") for c in "xyz"])
+    """samples with the nearest target of the first ring of cells (0..rings) that holds any; ties to the least id; null beyond.
+
+    A ring's cells that hold no target are left out before samples are sent there: each sample meets the different cells of
+    targets (a small table of counts), takes its first ring that holds any, and goes to that ring's full cells only."""
+    g = [cell(c, step).alias(f"g{c}") for c in "xyz"]
+    s = samples.select(*keys, F.col("id").alias("s"), *[F.col(c).cast("double").alias(f"s{c}") for c in "xyz"], *g)
+    t = targets.select(*keys, F.col("id").alias("t"), *[F.col(c).cast("double").alias(f"t{c}") for c in "xyz"], *g)
+    at, own = [*keys, "gx", "gy", "gz"], [*keys, "ox", "oy", "oz"]
     reach = range(-rings, rings + 1)
     around = F.array(*[F.struct(F.lit(max(abs(i), abs(j), abs(k))).alias("ring"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in reach for j in reach for k in reach])
-    wide = s.withColumn("o", F.explode(around)).withColumns({"gx": F.col("gx") + F.col("o.i"), "gy": F.col("gy") + F.col("o.j"), "gz": F.col("gz") + F.col("o.k")})
-    t = targets.select(*keys, F.col("id").alias("t"), *[F.col(c).cast("double").alias(f"t{c}") for c in "xyz"], *[cell(c, step).alias(f"g{c}") for c in "xyz"])
-    met = wide.join(t, [*keys, "gx", "gy", "gz"]).select(*keys, "s", F.col("o.ring").alias("ring"), "t", distance(vec("sx", "sy", "sz"), vec("tx", "ty", "tz")).alias("d"))
+    asked = s.select(*keys, F.col("gx").alias("ox"), F.col("gy").alias("oy"), F.col("gz").alias("oz")).distinct().withColumn("o", F.explode(around))
+    asked = asked.select(*own, F.col("o.ring").alias("ring"), *[(F.col(f"o{c}") + F.col(f"o.{k}")).alias(f"g{c}") for c, k in zip("xyz", "ijk", strict=True)])
+    full = asked.join(t.select(*at).distinct(), at)
+    first = full.groupBy(*own).agg(F.min("ring").alias("ring"))
+    cells = full.join(first, [*own, "ring"])
+    wide = s.select(*keys, "s", "sx", "sy", "sz", F.col("gx").alias("ox"), F.col("gy").alias("oy"), F.col("gz").alias("oz")).join(cells, own)
+    met = wide.join(t, at).select(*keys, "s", "ring", "t", distance(vec("sx", "sy", "sz"), vec("tx", "ty", "tz")).alias("d"))
     best = met.groupBy(*keys, "s").agg(F.min(F.struct("ring", "d", "t")).alias("m"))
     return s.select(*keys, "s").join(best, [*keys, "s"], "left").select(*keys, F.col("s").alias("id"), F.col("m.t").alias("target"), F.col("m.d").alias("distance"), F.col("m.ring").alias("ring"))
 
@@ -131,3 +146,30 @@ def covariance(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     """Population covariances of each pair of columns and the means, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.covar_pop(a, b).alias(f"cov_{a}{b}") for a, b in pairs])
+
+
+def axial_gaps(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """(keys, widest, n, span): the widest gap between a key's different places along an axis, their number and their span."""
+    order = Window.partitionBy(*keys).orderBy(place)
+    g = rows.select(*keys, place).distinct().withColumn("gap", F.col(place) - F.lag(place).over(order))
+    return g.groupBy(*keys).agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("widest"), F.count("*").alias("n"), (F.max(place) - F.min(place)).alias("span"))
+
+
+def inner_band(rows: DataFrame, keys: list[str], place: str, value: str, low: float = 0.15, high: float = 0.85) -> DataFrame:
+    """(keys, n, least, most, depth): a key's values whose place lies in the inner part of its depth. Two grouped passes, no window."""
+    ends = rows.groupBy(*keys).agg(F.min(place).alias("lo"), (F.max(place) - F.min(place)).alias("depth"))
+    inside = rows.join(ends, keys).where(F.col(place).between(F.col("lo") + F.col("depth") * low, F.col("lo") + F.col("depth") * high))
+    return inside.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.first("depth").alias("depth"))
+
+
+def obstacle_bands(surface: DataFrame, obstacles: DataFrame, keys: list[str], least: float = 0.1) -> DataFrame:
+    """(keys, no, lo, hi, obstructed): surfaces (keys, lo, hi) along their axes cut where obstacles (keys, at) begin and end; free
+    ends of `least` or less are left out."""
+    o = obstacles.groupBy(*keys).agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    s = surface.join(o, keys, "left")
+    a, b = F.greatest("lo", "a"), F.least("hi", "b")
+    band = lambda x, y, z: F.struct(x.alias("lo"), y.alias("hi"), F.lit(z).alias("obstructed"))
+    lo, hi = F.col("lo"), F.col("hi")
+    some = F.filter(F.array(F.when(a - lo > least, band(lo, a, False)), band(a, b, True), F.when(hi - b > least, band(b, hi, False))), lambda x: x.isNotNull())
+    bands = F.when(F.col("a").isNull(), F.array(band(lo, hi, False))).otherwise(some)
+    return s.select(*keys, F.posexplode(bands).alias("no", "band")).select(*keys, "no", "band.*")

@@ -82,10 +82,13 @@ def edge_audit(triangle: DataFrame) -> DataFrame:
 
 
 def boundary_half_edges(triangle: DataFrame) -> DataFrame:
-    """Directed edges whose reverse is absent in the mesh."""
-    h = half_edges(triangle)
-    back = h.select("mesh_id", F.col("v").alias("u"), F.col("u").alias("v")).distinct()
-    return h.join(back, ["mesh_id", "u", "v"], "left_anti")
+    """Directed edges whose reverse is absent in the mesh: one grouping by undirected edge, which keeps a direction where the
+    other has none."""
+    h = half_edges(triangle).withColumns({"a": F.least("u", "v"), "b": F.greatest("u", "v"), "up": F.col("u") < F.col("v")})
+    one = F.struct("tri", "ord", "u", "v")
+    g = h.groupBy("mesh_id", "a", "b").agg(F.collect_list(F.when(F.col("up"), one)).alias("ups"), F.collect_list(F.when(~F.col("up"), one)).alias("downs"))
+    alone = F.when(F.size("downs") == 0, F.col("ups")).when(F.size("ups") == 0, F.col("downs"))
+    return g.where((F.size("ups") == 0) | (F.size("downs") == 0)).select("mesh_id", F.explode(alone).alias("e")).select("mesh_id", "e.*")
 
 
 def adjacency(triangle: DataFrame) -> DataFrame:
@@ -143,12 +146,20 @@ def shells(facet: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     ).withColumn("is_cavity", F.col("signed_volume") < 0)
 
 
+def _large(n_tri, volume, least: float):
+    return (n_tri >= 8) & ((n_tri >= 30) | (F.abs(volume) >= least))
+
+
 def debris_free(shell: DataFrame) -> DataFrame:
-    """Shells that are kept: of several, those of 8 faces and more that have 30 faces or a volume of 1; if none is, all."""
-    many = F.count("*").over(Window.partitionBy("mesh_id"))
-    keep = (F.col("n_tri") >= 8) & ((F.col("n_tri") >= 30) | (F.abs("signed_volume") >= 1))
-    some = F.max(keep.cast("int")).over(Window.partitionBy("mesh_id")) == 1
-    return shell.withColumn("many", many).withColumn("some", some).withColumn("keep", keep).where("many = 1 OR keep OR NOT some").drop("many", "some", "keep")
+    """Shells that are kept. Of several in a mesh, first those of 8 faces and more that have 30 faces or a volume of 1; if none
+    is, those of 8 faces and more that have 30 or a volume of 0.1; if none is, all."""
+    mesh = Window.partitionBy("mesh_id")  # the shells of one mesh
+    n, v = F.col("n_tri"), F.col("signed_volume")
+    first, second = _large(n, v, 1.0), _large(n, v, 0.1)
+    some = lambda c: F.max(c.cast("int")).over(mesh) == 1
+    s = shell.withColumns({"many": F.count("*").over(mesh), "some1": some(first), "some2": some(second)})
+    keep = F.when(F.col("many") == 1, True).when(F.col("some1"), first).when(F.col("some2"), second).otherwise(True)
+    return s.where(keep).drop("many", "some1", "some2")
 
 
 def bounds(points: DataFrame, keys: list[str], x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
@@ -177,25 +188,46 @@ def mass_properties(facet: DataFrame) -> DataFrame:
         "mesh_id", F.col("v").alias("volume"), "area", *[(com[k] + F.col(f"o.{k}0").cast("double")).alias(f"com_{k}") for k in "xyz"],
         moment("y", "z", "x").alias("i_xx"), moment("x", "z", "y").alias("i_yy"), moment("x", "y", "z").alias("i_zz"),
         product("xy", "x", "y").alias("i_xy"), product("yz", "y", "z").alias("i_yz"), product("zx", "z", "x").alias("i_zx"),
-    )
+    ).withColumn("principal", F.array_sort(F.array("i_xx", "i_yy", "i_zz")))
 
 
-def analyze(vertex: DataFrame, triangle: DataFrame) -> DataFrame:
-    """One row a mesh: counts, watertightness, Euler characteristic, shells, bounds, volume and area.
+def wall_estimates(mass: DataFrame, bound: DataFrame) -> DataFrame:
+    """(mesh_id, wall): a thickness guessed from volume and area: twice their ratio, between 0.6 and a quarter of the least side."""
+    side = F.least(*[F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"])
+    ratio = F.try_divide(2 * F.abs("volume"), F.col("area"))
+    return mass.join(bound, "mesh_id").select("mesh_id", F.greatest(F.lit(0.6), F.least(side / 4, F.coalesce(ratio, F.lit(0.0)))).alias("wall"))
 
-    Volume sums shells that are no cavities; area sums all.
-    """
+
+def sanitized(vertex: DataFrame, triangle: DataFrame, tolerance: float = 0.005) -> tuple[DataFrame, DataFrame]:
+    """(facet, labels): facets without degenerate ones, sewn where open edges nearly meet, without debris; and their shells. Both
+    are computed here, since what follows asks for them many times."""
+    from meshloom.operators.spatial import sewn
+    from meshloom.operators.staging import kept
+
+    clean = kept(proper(facets(vertex, triangle), 1e-9).select("mesh_id", "tri", "i0", "i1", "i2"))
+    f = kept(facets(vertex, sewn(vertex, clean, tolerance)))
+    labels = shell_labels(f)
+    good = debris_free(shells(f, labels)).select("mesh_id", "shell_id")
+    labels = kept(labels.join(good, ["mesh_id", "shell_id"], "left_semi").select("mesh_id", "tri", "shell_id"))
+    return f.join(labels.select("mesh_id", "tri"), ["mesh_id", "tri"], "left_semi"), labels
+
+
+def analyze(vertex: DataFrame, triangle: DataFrame, sanitize: bool = True) -> DataFrame:
+    """One row a mesh: counts, watertightness, Euler characteristic, shells, bounds, volume and area, of the sanitized mesh (or,
+    without `sanitize`, of all facets but degenerate ones).
+
+    Volume sums shells that are no cavities; area sums all."""
     f = facets(vertex, triangle)
-    good = proper(f, 1e-9)
-    s = shells(good).groupBy("mesh_id").agg(
+    good, labels = sanitized(vertex, triangle) if sanitize else (proper(f, 1e-9), None)
+    s = shells(good, labels).groupBy("mesh_id").agg(
         F.count("*").alias("n_shells"), F.count_if("is_cavity").alias("n_cavities"), F.sum(F.when(~F.col("is_cavity"), F.col("signed_volume")).otherwise(0.0)).alias("volume"), F.sum("area").alias("area"),
         *[F.min(f"min_{k}").alias(f"min_{k}") for k in "xyz"], *[F.max(f"max_{k}").alias(f"max_{k}") for k in "xyz"],
     )
     counts = euler(good).join(edge_audit(good), "mesh_id").join(s, "mesh_id")
-    degenerate = f.groupBy("mesh_id").agg(F.count("*").alias("n_read"))
+    degenerate = f.groupBy("mesh_id").agg(F.count("*").alias("n_read"), F.count_if((F.col("i0") == F.col("i1")) | (F.col("i1") == F.col("i2")) | (F.col("i0") == F.col("i2")) | (triangle_area(*corners()) < 1e-9)).alias("n_degenerate"))
     out = counts.join(degenerate, "mesh_id")
     return out.select(
-        "mesh_id", F.col("f").alias("n_tri"), F.col("v").alias("n_vertices"), (F.col("n_read") - F.col("f")).alias("n_degenerate"), "open_edges", "non_manifold_edges", "inverted_edges", "chi", "n_shells", "n_cavities",
+        "mesh_id", F.col("f").alias("n_tri"), F.col("v").alias("n_vertices"), "n_degenerate", "open_edges", "non_manifold_edges", "inverted_edges", "chi", "n_shells", "n_cavities",
         ((F.col("open_edges") == 0) & (F.col("non_manifold_edges") == 0)).alias("watertight"), rounded(F.col("volume"), 4).alias("volume"), rounded(F.col("area"), 4).alias("area"),
         *[f"{m}_{k}" for m in ("min", "max") for k in "xyz"],
     )
@@ -217,14 +249,14 @@ def vertex_quadrics(facet: DataFrame) -> DataFrame:
     return rows.groupBy("mesh_id", "vid").agg(*[F.sum(k).alias(k) for k in names])
 
 
-def shielded(facet: DataFrame, feature_deg: float = 30.0) -> DataFrame:
-    """(mesh_id, vid): vertices to keep in place: ends of edges that have not two faces, or whose faces meet at a crease."""
-    import math
-
-    g = facet_geometry(facet)
-    h = half_edges(facet).select("mesh_id", "tri", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).join(g.select("mesh_id", "tri", "nx", "ny", "nz"), ["mesh_id", "tri"])
-    e = h.groupBy("mesh_id", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("tri", "nx", "ny", "nz")).alias("p"), F.max(F.struct("tri", "nx", "ny", "nz")).alias("q"))
-    fold = dot(vec("p.nx", "p.ny", "p.nz"), vec("q.nx", "q.ny", "q.nz"))
-    return e.where((F.col("n") != 2) | (fold < math.cos(math.radians(feature_deg)))).select("mesh_id", F.explode(F.array("a", "b")).alias("vid")).distinct()
-
+def shielded(facet: DataFrame, feature_deg: float = 30.0, fine_deg: float | None = None, length: float = 0.35, curvature_deg: float | None = None, boxes: DataFrame | None = None, vertex: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, vid): vertices to keep in place: ends of edges that have not two faces or whose faces meet at a crease, and
+    where asked for, ends of short edges with a finer crease, vertices where the surface turns, and those in keep-out boxes."""
+    from meshloom.operators.validity import boxed_vertices, curved_vertices, short_creases
 
+    out = short_creases(facet, feature_deg, feature_deg if fine_deg is None else fine_deg, length)
+    if curvature_deg is not None:
+        out = out.unionByName(curved_vertices(facet, curvature_deg))
+    if boxes is not None:
+        out = out.unionByName(boxed_vertices(vertex, boxes))
+    return out.distinct()

@@ -628,3 +628,6 @@ def triangle_distances_all(spark, sf_dir):
     """All points: over the triangle, or nearest to one of its sides or corners."""
     t = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "z0", "x1", "y1", "z1", "x2", "y2", "z2"), (0, 0, 0, 1, 0, 0, 1, 1, 0), strict=True)])
     return points(spark, sf_dir).select("id", r6(polygons.triangle_distance(F.struct("x", "y", "z"), t)).alias("distance"))
+
+
+from meshloom.plans import feature_queries  # noqa: E402, F401  registers its own

@@ -51,3 +51,18 @@ def heat_maps(facet: DataFrame, deviation: DataFrame, full: float = 0.5) -> Data
         return pd.DataFrame({"mesh_id": [pdf["mesh_id"].iloc[0]], "content": [encode(pts, ramp(total / np.maximum(n, 1) / full), face)]})
 
     return facet.join(deviation, ["mesh_id", "tri"], "left").groupBy("mesh_id").applyInPandas(one, "mesh_id string, content binary")
+
+
+def two_colours(facet: DataFrame) -> DataFrame:
+    """(mesh_id, content): each mesh in green, with the vertices of facets marked `free` in orange."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        vid, face = np.unique(pdf[["i0", "i1", "i2"]].to_numpy(np.int64), return_inverse=True)
+        face = face.reshape(-1, 3)
+        pts = np.zeros((len(vid), 3))
+        pts[face.ravel()] = pdf[[f"{c}{k}" for k in range(3) for c in "xyz"]].to_numpy(float).reshape(-1, 3)
+        colour = np.tile([0.2, 0.8, 0.2], (len(vid), 1))
+        colour[face[pdf["free"].to_numpy(bool)].ravel()] = [1.0, 0.55, 0.1]
+        return pd.DataFrame({"mesh_id": [pdf["mesh_id"].iloc[0]], "content": [encode(pts, colour, face)]})
+
+    return facet.groupBy("mesh_id").applyInPandas(one, "mesh_id string, content binary")

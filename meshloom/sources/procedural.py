@@ -89,6 +89,19 @@ def open_box() -> Mesh:
     return m
 
 
+def wedge(size: float = 10, cut: float = 4, depth: float = 10) -> Mesh:
+    """A block one of whose edges is cut off at 45 degrees."""
+    rim = [(0, 0), (size, 0), (size, size - cut), (size - cut, size), (0, size)]
+    m = Mesh([(x, y, z) for y in (0.0, depth) for x, z in rim])
+    n = len(rim)
+    for k in range(1, n - 1):
+        m.faces += [(0, k, k + 1), (n, n + k + 1, n + k)]
+    for k in range(n):
+        j = (k + 1) % n
+        m.quad(k, n + k, n + j, j)
+    return m
+
+
 MESHES = {"unit_cube": lambda: box(1, 1, 1), "labyrinth": labyrinth, "hinge": hinge, "prismatic_m6": bored_block, "saddle": saddle, "open_box": open_box}
 
 

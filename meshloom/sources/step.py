@@ -87,18 +87,20 @@ def _solid(pdf: pd.DataFrame) -> pd.DataFrame:
         if key not in at:
             at[key] = put(f"CARTESIAN_POINT('', ({key}))")
         ref[vid] = at[key]
-    xyz = pts.set_index("tri")[["x", "y", "z"]]
+    vids, xyz = pts["tri"].to_numpy(), pts[["x", "y", "z"]].to_numpy(float)
     solids = []
     for _, shell in tri.groupby("shell_id", sort=True):
         faces = []
-        for a, b, c in shell[["i0", "i1", "i2"]].itertuples(index=False):
+        ids = shell[["i0", "i1", "i2"]].to_numpy(np.int64)
+        at_ = np.searchsorted(vids, ids)
+        p, q, r = (xyz[at_[:, k]] for k in range(3))
+        normal = np.cross(q - p, r - p)
+        size = np.linalg.norm(normal, axis=1)
+        normal = np.where(size[:, None] > 1e-12, normal / np.maximum(size, 1e-12)[:, None], [0.0, 0.0, 1.0])
+        side_ = (q - p) / np.maximum(np.linalg.norm(q - p, axis=1), 1e-12)[:, None]
+        for (a, b, c), n, u in zip(ids.tolist(), normal, side_, strict=True):
             if len({ref[a], ref[b], ref[c]}) < 3:
                 continue
-            p, q, r = (xyz.loc[i].to_numpy() for i in (a, b, c))
-            n = np.cross(q - p, r - p)
-            size = np.linalg.norm(n)
-            n = n / size if size > 1e-12 else np.array([0.0, 0.0, 1.0])
-            u = (q - p) / max(np.linalg.norm(q - p), 1e-12)
             axis, side = (put(f"DIRECTION('', ({', '.join(map(number, d))}))") for d in (n, u))
             plane = put(f"PLANE('', #{put(f"AXIS2_PLACEMENT_3D('', #{ref[a]}, #{axis}, #{side})")})")
             bound = put(f"FACE_OUTER_BOUND('', #{put(f"POLY_LOOP('', (#{ref[a]}, #{ref[b]}, #{ref[c]}))")}, .T.)")
