@@ -85,12 +85,14 @@ def facet_measures(spark, sf_dir):
     s AS (SELECT mesh_id, x0-ox AS ax, y0-oy AS ay, z0-oz AS az, x1-ox AS bx, y1-oy AS by_, z1-oz AS bz, x2-ox AS cx, y2-oy AS cy, z2-oz AS cz, ox, oy, oz FROM facet JOIN o USING (mesh_id)),
     d AS (SELECT *, ax*(by_*cz-bz*cy) + ay*(bz*cx-bx*cz) + az*(bx*cy-by_*cx) AS det FROM s),
     g AS (SELECT mesh_id, any_value(ox) AS ox, any_value(oy) AS oy, any_value(oz) AS oz, sum(det/6) AS v, sum(det*(ax+bx+cx)/24) AS mx, sum(det*(ay+by_+cy)/24) AS my, sum(det*(az+bz+cz)/24) AS mz,
-        sum(det*((ax+bx+cx)*(ax+bx+cx)+ax*ax+bx*bx+cx*cx)/120) AS sxx, sum(det*((ay+by_+cy)*(ay+by_+cy)+ay*ay+by_*by_+cy*cy)/120) AS syy, sum(det*((az+bz+cz)*(az+bz+cz)+az*az+bz*bz+cz*cz)/120) AS szz FROM d GROUP BY mesh_id)
+        sum(det*((ax+bx+cx)*(ax+bx+cx)+ax*ax+bx*bx+cx*cx)/120) AS sxx, sum(det*((ay+by_+cy)*(ay+by_+cy)+ay*ay+by_*by_+cy*cy)/120) AS syy, sum(det*((az+bz+cz)*(az+bz+cz)+az*az+bz*bz+cz*cz)/120) AS szz,
+        sum(det*((ax+bx+cx)*(ay+by_+cy)+ax*ay+bx*by_+cx*cy)/120) AS sxy, sum(det*((ay+by_+cy)*(az+bz+cz)+ay*az+by_*bz+cy*cz)/120) AS syz, sum(det*((az+bz+cz)*(ax+bx+cx)+az*ax+bz*bx+cz*cx)/120) AS szx FROM d GROUP BY mesh_id)
     SELECT mesh_id, floor(v*1e3+0.5)/1e3 AS volume, floor((mx/v+ox)*1e3+0.5)/1e3 AS com_x, floor((my/v+oy)*1e3+0.5)/1e3 AS com_y, floor((mz/v+oz)*1e3+0.5)/1e3 AS com_z,
-        floor((syy+szz-v*(my/v*my/v+mz/v*mz/v))*100+0.5)/100 AS i_xx FROM g WHERE mesh_id <> 'open_box'""")
+        floor(greatest(0, syy+szz-v*(my/v*my/v+mz/v*mz/v))*100+0.5)/100 AS i_xx, floor(greatest(0, sxx+szz-v*(mx/v*mx/v+mz/v*mz/v))*100+0.5)/100 AS i_yy, floor(greatest(0, sxx+syy-v*(mx/v*mx/v+my/v*my/v))*100+0.5)/100 AS i_zz,
+        floor(-(sxy-v*mx/v*my/v)*100+0.5)/100 AS i_xy, floor(-(syz-v*my/v*mz/v)*100+0.5)/100 AS i_yz, floor(-(szx-v*mz/v*mx/v)*100+0.5)/100 AS i_zx FROM g""")
 def mass_properties(spark, sf_dir):
-    m = topology.mass_properties(topology.facets(*meshes(spark))).where("mesh_id <> 'open_box'")
-    return m.select("mesh_id", *[geometry.rounded(F.col(c), 3).alias(c) for c in ("volume", "com_x", "com_y", "com_z")], geometry.rounded(F.col("i_xx"), 2).alias("i_xx"))
+    m = topology.mass_properties(topology.facets(*meshes(spark)))
+    return m.select("mesh_id", *[geometry.rounded(F.col(c), 3).alias(c) for c in ("volume", "com_x", "com_y", "com_z")], *[(geometry.rounded(F.col(c), 2) + F.lit(0.0)).alias(c) for c in ("i_xx", "i_yy", "i_zz", "i_xy", "i_yz", "i_zx")])
 
 
 @query(_MESH + " SELECT mesh_id, min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM vertex GROUP BY 1")
@@ -133,9 +135,9 @@ def cavity_bodies(spark, sf_dir):
 
 
 @query(_FACET + """, n AS (SELECT mesh_id, area, ((y1-y0)*(z2-z0)-(z1-z0)*(y2-y0)) / (2*area) AS nx, ((z1-z0)*(x2-x0)-(x1-x0)*(z2-z0)) / (2*area) AS ny, ((x1-x0)*(y2-y0)-(y1-y0)*(x2-x0)) / (2*area) AS nz, x0, y0, z0 FROM measured)
-    SELECT mesh_id, floor(nx*20+0.5)::BIGINT AS qx, floor(ny*20+0.5)::BIGINT AS qy, floor(nz*20+0.5)::BIGINT AS qz, floor((nx*x0+ny*y0+nz*z0)/0.2+0.5)::BIGINT AS qd, count(*) AS n, sum(floor(area*1e6+0.5))/1e6 AS area FROM n WHERE mesh_id <> 'hinge' GROUP BY ALL""")
+    SELECT mesh_id, floor(nx*20+0.5)::BIGINT AS qx, floor(ny*20+0.5)::BIGINT AS qy, floor(nz*20+0.5)::BIGINT AS qz, floor((nx*x0+ny*y0+nz*z0)/0.2+0.5)::BIGINT AS qd, count(*) AS n, sum(floor(area*1e6+0.5))/1e6 AS area FROM n GROUP BY ALL""")
 def plane_buckets(spark, sf_dir):
-    f = topology.facets(*meshes(spark)).where("mesh_id <> 'hinge'")
+    f = topology.facets(*meshes(spark))
     a, b, c = topology.corners()
     n = geometry.triangle_normal(a, b, c)
     g = f.select("mesh_id", n[0].alias("nx"), n[1].alias("ny"), n[2].alias("nz"), geometry.dot(n, a).alias("offset"), geometry.triangle_area(a, b, c).alias("area"))
@@ -165,7 +167,7 @@ def edge_audit(spark, sf_dir):
 @query("SELECT count(*) AS read, count(*) FILTER (l_orderkey <> l_partkey AND l_partkey <> l_suppkey AND l_orderkey <> l_suppkey) AS kept FROM lineitem")
 def degenerate_filter(spark, sf_dir):
     f = lineitem_facets(spark, sf_dir)
-    return f.agg(F.count("*").alias("read"), F.count_if((F.col("i0") != F.col("i1")) & (F.col("i1") != F.col("i2")) & (F.col("i0") != F.col("i2"))).alias("kept"))
+    return f.agg(F.count("*").alias("read")).join(topology.proper(f).agg(F.count("*").alias("kept")))  # one row each
 
 
 @query(_LINE + _HALF + ", used AS (SELECT DISTINCT unnest([i0, i1, i2]) AS vid FROM triangle) SELECT (SELECT count(*) FROM used) AS v, (SELECT count(*) FROM edge) AS e, (SELECT count(*) FROM triangle) AS f, (SELECT count(*) FROM used) - (SELECT count(*) FROM edge) + (SELECT count(*) FROM triangle) AS chi")
@@ -241,12 +243,13 @@ def material_resolve(spark, sf_dir):
     return matching.resolve_materials(p.union(golden).distinct().withColumnRenamed("raw", "label"), "label").withColumnRenamed("label", "raw")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'fast' WHEN o_totalprice < 300000 THEN 'medium' ELSE 'heavy' END AS class, least(300e0, 45e0 + 2.5e0 * o_totalprice / 10000e0) AS deadline FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'fast' WHEN o_totalprice < 300000 THEN 'medium' ELSE 'heavy' END AS class, least(300e0, 45e0 + 2.5e0 * (o_totalprice / 10000e0)) AS deadline FROM orders")
 def priority_class(spark, sf_dir):
     """o_totalprice over 10000 as a file's MiB."""
+    from meshloom.operators.scheduling import deadline_seconds, size_class
+
     mib = F.col("o_totalprice") / F.lit(10000.0)
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.when(mib < 5, "fast").when(mib < 30, "medium").otherwise("heavy").alias("class"), F.least(F.lit(300.0), F.lit(45.0) + F.lit(2.5) * F.col("o_totalprice") / 10000.0).alias("deadline"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", size_class(mib).alias("class"), deadline_seconds(mib).alias("deadline"))
 
 
 @query("""WITH c AS (SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 0 WHEN o_totalprice < 300000 THEN 1 ELSE 2 END AS class FROM orders),
@@ -280,13 +283,14 @@ def distance_pairs(spark, sf_dir):
     return spatial.distance_pairs(points(spark, sf_dir), ["g"], 0.03125).select("a", "b", r6(F.col("distance")).alias("distance"))
 
 
-@query(f"""WITH {_PTS}, c AS (SELECT *, floor(x / 0.0625e0) AS gx, floor(y / 0.0625e0) AS gy, floor(z / 0.0625e0) AS gz FROM pts),
-    m AS (SELECT s.id, t.id AS target, greatest(abs(s.gx-t.gx), abs(s.gy-t.gy), abs(s.gz-t.gz)) AS ring, sqrt((s.x-t.x)*(s.x-t.x) + (s.y-t.y)*(s.y-t.y) + (s.z-t.z)*(s.z-t.z)) AS d FROM c s, c t WHERE s.id % 2 = 1 AND t.id % 2 = 0),
+@query(f"""WITH {_PTS}, t AS (SELECT *, floor(x / 0.0625e0) AS gx, floor(y / 0.0625e0) AS gy, floor(z / 0.0625e0) AS gz FROM pts), s AS (SELECT id, x + 0.03125e0 AS x, y, z, floor((x + 0.03125e0) / 0.0625e0) AS gx, floor(y / 0.0625e0) AS gy, floor(z / 0.0625e0) AS gz FROM pts),
+    m AS (SELECT s.id, t.id AS target, greatest(abs(s.gx-t.gx), abs(s.gy-t.gy), abs(s.gz-t.gz)) AS ring, sqrt((s.x-t.x)*(s.x-t.x) + (s.y-t.y)*(s.y-t.y) + (s.z-t.z)*(s.z-t.z)) AS d FROM s, t),
     k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ring, d, target) AS r FROM m WHERE ring <= 2)
-    SELECT p.id, k.target, floor(k.d * 1e6 + 0.5) / 1e6 AS distance, k.ring::BIGINT AS ring FROM pts p LEFT JOIN k ON k.id = p.id AND k.r = 1 WHERE p.id % 2 = 1""")
+    SELECT p.id, k.target, floor(k.d * 1e6 + 0.5) / 1e6 AS distance, k.ring::BIGINT AS ring FROM pts p LEFT JOIN k ON k.id = p.id AND k.r = 1""")
 def nearest_in_rings(spark, sf_dir):
+    """For each point, moved along X by half a cell, the nearest of all points."""
     p = points(spark, sf_dir)
-    n = spatial.nearest_in_rings(p.where("id % 2 = 1"), p.where("id % 2 = 0"), ["g"], 0.0625)
+    n = spatial.nearest_in_rings(p.withColumn("x", F.col("x") + 0.03125), p, ["g"], 0.0625)
     return n.select("id", "target", r6(F.col("distance")).alias("distance"), F.col("ring").cast("long").alias("ring"))
 
 
@@ -392,11 +396,12 @@ def session_throughput(spark, sf_dir):
     return sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"])
 
 
-@query("SELECT doc_id, i::BIGINT AS ord, s AS statement FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, '.')[:-2] AS l FROM documents))")
+@query("""WITH l AS (SELECT doc_id, string_split(replace(replace(text, '''', ''), '.', ';'), ';') AS l FROM documents), f AS (SELECT doc_id, list_filter(l[:-2], lambda x: x <> '') AS l FROM l)
+    SELECT doc_id, i::BIGINT AS ord, s AS statement FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM f)""")
 def statement_split(spark, sf_dir):
+    """Sentences as an exchange file's statements."""
     d = table(spark, sf_dir, "documents")
-    parts = F.split("text", r"\.")
-    return d.select("doc_id", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("ord", "statement")).withColumn("ord", F.col("ord").cast("long"))
+    return d.select("doc_id", F.posexplode(text.statements(F.translate("text", ".'", ";"))).alias("ord", "statement")).withColumn("ord", F.col("ord").cast("long"))
 
 
 @query("SELECT doc_id, ceil(length(text) / 3.2e0)::BIGINT AS tokens FROM documents")
@@ -419,14 +424,6 @@ def step_numbers(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", text.step_number(F.col("l_extendedprice") / F.lit(7.0)).alias("number"))
 
 
-@query("WITH b AS (SELECT c_nationkey AS k, c_custkey AS id, c_acctbal AS lo, c_acctbal + 100e0 AS hi FROM customer) SELECT i.k, i.id AS inner_id, min(o.id) AS outer_id FROM b i LEFT JOIN (SELECT k, id, lo - 500e0 AS lo, hi + 500e0 AS hi FROM b WHERE id % 3 = 0) o ON o.k = i.k AND i.lo >= o.lo - 1e-3 AND i.hi <= o.hi + 1e-3 GROUP BY ALL")
-def smallest_enclosing(spark, sf_dir):
-    """Intervals of account balances in wider ones of the same nation, the ids breaking ties."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 100.0).alias("hi"))
-    box = lambda df, pad: df.select("k", "id", (F.lit(1100.0)).alias("size"), *[(F.col("lo") - pad).alias(f"min_{a}") for a in "xyz"], *[(F.col("hi") + pad).alias(f"max_{a}") for a in "xyz"])
-    return matching.smallest_enclosing(box(c, 0.0), box(c.where("id % 3 = 0"), 500.0), ["k"])
-
-
 # -- features, files and verification of the procedural meshes ----------------------------------------
 
 _TRI = "mesh_id IN ('unit_cube', 'labyrinth', 'open_box', 'hinge')"
@@ -484,12 +481,21 @@ def boundary_loops(spark, sf_dir):
     return loop.groupBy("mesh_id", "loop_id").agg(F.count("*").alias("n"), F.bool_and("closed").alias("closed"))
 
 
-@query()
+@query(_MESH + _HALF + " SELECT mesh_id, true AS no_more_facets, true AS as_closed, true AS volume_kept FROM edge GROUP BY 1")
 def simplify_meshes(spark, sf_dir):
-    """Edge collapse of the saddle; sequential within a mesh, so no SQL."""
+    """Edge collapse of each mesh: fewer facets or as many, open only where it was, and the volume within 1 %."""
     from meshloom.operators import kernels
+    from meshloom.operators.staging import kept
+
+    def told(f, p):
+        e = topology.edge_audit(f).select("mesh_id", F.col("open_edges").alias(f"{p}_open"), F.col("non_manifold_edges").alias(f"{p}_many"))
+        m = topology.mass_properties(f).select("mesh_id", F.col("volume").alias(f"{p}_volume"))
+        return e.join(m, "mesh_id").join(f.groupBy("mesh_id").agg(F.count("*").alias(f"{p}_n")), "mesh_id")
 
-    return kernels.simplify(topology.facets(*procedural.tables(spark)).where("mesh_id = 'saddle'"), 0.5)
+    f = topology.facets(*meshes(spark))
+    s = kept(kernels.simplify(f, 0.5).where("error IS NULL"))
+    both = told(f, "a").join(told(s, "b"), "mesh_id")
+    return both.select("mesh_id", F.expr("b_n <= a_n").alias("no_more_facets"), F.expr("b_open = a_open AND b_many = a_many").alias("as_closed"), F.expr("abs(a_volume - b_volume) <= 0.01 * abs(a_volume)").alias("volume_kept"))
 
 
 @query()
@@ -509,12 +515,12 @@ def sample_counts(spark, sf_dir):
     return verify.samples(topology.facets(*meshes(spark)), 200).groupBy("mesh_id").agg(F.count("*").alias("n"))
 
 
-@query(_MESH + _HALF + " SELECT e.mesh_id, e.a, e.b, p.x AS x0, q.x AS x1 FROM edge e JOIN vertex p ON p.mesh_id = e.mesh_id AND p.vid = e.a JOIN vertex q ON q.mesh_id = e.mesh_id AND q.vid = e.b")
+@query(_MESH + _HALF + " SELECT e.mesh_id, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM edge e JOIN vertex p ON p.mesh_id = e.mesh_id AND p.vid = e.a JOIN vertex q ON q.mesh_id = e.mesh_id AND q.vid = e.b")
 def wireframe_edges(spark, sf_dir):
+    from meshloom.sources.step import wireframe
+
     v, t = meshes(spark)
-    e = topology.edges(t).select("mesh_id", "a", "b")
-    end = lambda k, n: v.select("mesh_id", F.col("vid").alias(k), F.col("x").cast("double").alias(n))
-    return e.join(end("a", "x0"), ["mesh_id", "a"]).join(end("b", "x1"), ["mesh_id", "b"]).select("mesh_id", "a", "b", "x0", "x1")
+    return wireframe(t, v).select("mesh_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 @query(_FACET + _HALF + """, n AS (SELECT mesh_id, tri, ((y1-y0)*(z2-z0)-(z1-z0)*(y2-y0))/(2*area) AS nx, ((z1-z0)*(x2-x0)-(x1-x0)*(z2-z0))/(2*area) AS ny, ((x1-x0)*(y2-y0)-(y1-y0)*(x2-x0))/(2*area) AS nz FROM measured),
@@ -551,13 +557,6 @@ def revolute_joints(spark, sf_dir):
     return matching.revolute_pairs(c)
 
 
-@query(f"WITH {_PTS} SELECT id, CASE WHEN x >= 0.25e0 THEN '+X' WHEN x <= -0.25e0 THEN '-X' WHEN y >= 0.25e0 THEN '+Y' WHEN y <= -0.25e0 THEN '-Y' WHEN z >= 0.25e0 THEN '+Z' WHEN z <= -0.25e0 THEN '-Z' END AS axis FROM pts WHERE (abs(x) >= 0.25e0)::INT + (abs(y) >= 0.25e0)::INT + (abs(z) >= 0.25e0)::INT <= 1")
-def axis_snap(spark, sf_dir):
-    p = points(spark, sf_dir)
-    one = sum(((F.abs(F.col(c)) >= 0.25).cast("int") for c in "xyz"), F.lit(0)) <= 1
-    return p.where(one).select("id", geometry.snapped_axis(geometry.vec("x", "y", "z"), 0.25).alias("axis"))
-
-
 @query("SELECT k.nation, k.kept FROM (SELECT c_nationkey AS nation, count(*) AS kept FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey) AS m, max((n >= 8 AND (n >= 30 OR v >= 1))::INT) OVER (PARTITION BY c_nationkey) AS any_kept FROM (SELECT c_nationkey, c_custkey, c_custkey % 40 AS n, abs(c_acctbal / 1000) AS v FROM customer)) WHERE m = 1 OR (n >= 8 AND (n >= 30 OR v >= 1)) OR any_kept = 0 GROUP BY 1) k")
 def debris_filter(spark, sf_dir):
     """Customers as the shells of a nation's mesh."""
@@ -587,9 +586,13 @@ def containment_forest(spark, sf_dir):
     return polygons.forest(squares(spark, sf_dir), ["g"])
 
 
-@query(f"WITH {_SQUARE} SELECT DISTINCT g, loop_id, 0::BIGINT AS n FROM loops")
+@query("SELECT p_brand AS g, p_partkey AS loop_id, p_partkey % 2 AS n FROM part")
 def polygon_crossings(spark, sf_dir):
-    return polygons.crossings(squares(spark, sf_dir), ["g"])
+    """Parts as squares, and odd ones as bow ties, whose sides cross once."""
+    shape = lambda *p: F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for i, (x, y) in enumerate(p)])
+    pts = F.when(F.col("p_partkey") % 2 == 0, shape((0, 0), (1, 0), (1, 1), (0, 1))).otherwise(shape((0, 0), (1, 1), (1, 0), (0, 1)))
+    loops = table(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("loop_id"), F.explode(pts).alias("p")).select("g", "loop_id", "p.*")
+    return polygons.crossings(loops, ["g"])
 
 
 @query(f"WITH {_SQUARE} SELECT g, loop_id, ord::BIGINT AS ord FROM loops WHERE ord <> 2")
@@ -597,19 +600,11 @@ def collinear_vertices(spark, sf_dir):
     return polygons.straightened(squares(spark, sf_dir), ["g"]).select("g", "loop_id", F.col("ord").cast("long").alias("ord"))
 
 
-@query(f"WITH {_PTS} SELECT id, floor(CASE WHEN x BETWEEN 0 AND 1 AND y BETWEEN 0 AND x THEN abs(z) WHEN y < 0 AND x BETWEEN 0 AND 1 THEN sqrt(y*y + z*z) END * 1e6 + 0.5) / 1e6 AS distance FROM pts WHERE x BETWEEN 0 AND 1 AND y <= x AND y <= 1")
-def triangle_distances(spark, sf_dir):
-    """Points over the triangle (0,0) (1,0) (1,1) and beside its first side."""
-    p = points(spark, sf_dir).where("x BETWEEN 0 AND 1 AND y <= x AND y <= 1")
-    t = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "z0", "x1", "y1", "z1", "x2", "y2", "z2"), (0, 0, 0, 1, 0, 0, 1, 1, 0), strict=True)])
-    return p.select("id", r6(polygons.triangle_distance(F.struct("x", "y", "z"), t)).alias("distance"))
-
-
 # -- the same operators over all rows, where the queries above take some --------------------------------------
 
 
 @query("WITH b AS (SELECT c_nationkey AS k, c_custkey AS id, c_acctbal AS lo, c_acctbal + 100e0 AS hi FROM customer) SELECT i.k, i.id AS inner_id, min(o.id) AS outer_id FROM b i JOIN b o ON o.k = i.k AND i.lo >= o.lo - 500e0 - 1e-3 AND i.hi <= o.hi + 500e0 + 1e-3 GROUP BY ALL")
-def smallest_enclosing_all(spark, sf_dir):
+def smallest_enclosing(spark, sf_dir):
     """Each customer's interval in the wider ones of all customers of the nation."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 100.0).alias("hi"))
     box = lambda pad: c.select("k", "id", F.lit(1100.0).alias("size"), *[(F.col("lo") - pad).alias(f"min_{a}") for a in "xyz"], *[(F.col("hi") + pad).alias(f"max_{a}") for a in "xyz"])
@@ -617,14 +612,14 @@ def smallest_enclosing_all(spark, sf_dir):
 
 
 @query(f"WITH {_PTS}, m AS (SELECT *, greatest(abs(x), abs(y), abs(z)) AS m FROM pts) SELECT id, CASE WHEN m < 0.25e0 THEN NULL WHEN abs(x) = m THEN CASE WHEN x > 0 THEN '+X' ELSE '-X' END WHEN abs(y) = m THEN CASE WHEN y > 0 THEN '+Y' ELSE '-Y' END WHEN abs(z) = m THEN CASE WHEN z > 0 THEN '+Z' ELSE '-Z' END END AS axis FROM m")
-def axis_snap_all(spark, sf_dir):
+def axis_snap(spark, sf_dir):
     """All points; of several axes that qualify the closest, of equals the first."""
     return points(spark, sf_dir).select("id", geometry.snapped_axis(geometry.vec("x", "y", "z"), 0.25).alias("axis"))
 
 
 @query(f"""WITH {_PTS}, k AS (SELECT *, least(1e0, greatest(0e0, x)) AS a, least(1e0, greatest(0e0, y)) AS b, least(1e0, greatest(0e0, (x + y) / 2)) AS c FROM pts)
     SELECT id, floor(CASE WHEN x <= 1 AND y BETWEEN 0 AND x THEN abs(z) ELSE sqrt(least((x-a)*(x-a) + y*y, (x-1)*(x-1) + (y-b)*(y-b), (x-c)*(x-c) + (y-c)*(y-c)) + z*z) END * 1e6 + 0.5) / 1e6 AS distance FROM k""")
-def triangle_distances_all(spark, sf_dir):
+def triangle_distances(spark, sf_dir):
     """All points: over the triangle, or nearest to one of its sides or corners."""
     t = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "z0", "x1", "y1", "z1", "x2", "y2", "z2"), (0, 0, 0, 1, 0, 0, 1, 1, 0), strict=True)])
     return points(spark, sf_dir).select("id", r6(polygons.triangle_distance(F.struct("x", "y", "z"), t)).alias("distance"))
