@@ -1,10 +1,11 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells, one representative a group.
 
-Equal vectors collapse first. Each vector has a home cell, that of its nearest centroid, and visits every other cell whose
-centroid is farther from it by `margin` radians at most; homes of a cell are compared with its homes and visitors. Two
-vectors are compared if either visits the other's home. The margin is the angle that links span, acos(least): of two
-linked vectors x and y, x the nearer to its home hx, angle(y, hx) <= angle(y, x) + angle(x, hx) <= acos(least) +
-angle(y, hy), so y visits hx, and no link is lost whatever the cells are.
+Equal vectors collapse first. Each vector has a home cell, that of its nearest centroid, and visits every other cell in
+which a link may await it; a cell's homes are compared with each other and with its visitors. Let `near` be a vector's
+angle to its home's centroid. Of two linked vectors x and y with near(x) <= near(y), the angle between y and x's centroid
+is at most near(x) + margin, where the margin is the angle that links span, acos(least). So y visits the cells whose
+centroid is no farther than margin + the lesser of near(y) and the greatest near of the cell's homes, and no link is
+lost, whatever the cells are. A pair counts where y visits x, and there only.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, mapped, runs, stored
+from .common import dropped, gathered, mapped, runs, stored
 from .components import components
 
-CELL = 400
-MOST_CELLS = 1024
+CELL = 4096
+MOST_CELLS = 4096
 SAMPLE = 20_000
-HOMES, VISITORS = 1024, 4096
+HOMES, VISITORS = 4096, 8192
 SLACK = 1e-6  # of angles, for rounding
 
 
@@ -54,6 +55,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small components leave the range of doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -82,43 +84,34 @@ def _compare(least: float, dims: int):
             left, right = (np.arange(len(side)),) * 2 if same else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
             if not len(left) or not len(right):
                 continue
-            ids, mult = t.column("vec_id").to_numpy(), t.column("mult").to_numpy()
-            home, cell = t.column("home").to_numpy(), int(t.column("cell")[0].as_py())
-            visits = [set(v) for v in t.column("visits").to_pylist()] if not same else []
+            ids, mult, near = (t.column(k).to_numpy() for k in ("vec_id", "mult", "near"))
+            guest = t.column("guest").to_numpy(zero_copy_only=False)
             x = _unit(_matrix(t.column("v"), dims))
-            label = np.arange(len(ids))
-            label[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+            label = np.empty(len(ids), np.int64)  # of the least id, by rank
             by_rank = np.argsort(ids, kind="stable")
+            label[by_rank] = np.arange(len(ids))
             count = np.zeros(len(ids), np.int64)
-            pairs = []
+            y = np.ascontiguousarray(x[right].T)
             for at in range(0, len(left), 256):
-                rows = left[at : at + 256]
-                a, b = np.nonzero(x[rows] @ x[right].T >= least)
-                a, b = rows[a], right[b]
+                rows, first = left[at : at + 256], at + 1 if same else 0
+                m = x[rows] @ y[:, first:] >= least
+                on, cols = np.flatnonzero(m.any(axis=1)), np.flatnonzero(m.any(axis=0))
+                if not len(on):
+                    continue
+                m, r, c = m[np.ix_(on, cols)], rows[on], right[first:][cols]
                 if same:
-                    a, b = a[a < b], b[a < b]
-                pairs.append((a, b))
-                counted = np.ones(len(a), bool)
-                if not same and len(a):
-                    # a visitor's pair may come up in its own home too: the home of the smaller id counts it
-                    away = np.flatnonzero(home[b] != cell)
-                    counted[away] = [ids[p] < ids[q] or int(home[q]) not in visits[p] for p, q in zip(a[away].tolist(), b[away].tolist(), strict=True)]
-                np.add.at(count, a[counted], mult[b[counted]])
-                np.add.at(count, b[counted], mult[a[counted]])
-            a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
-            if not len(a):
-                continue
-            while True:  # least label over links, to a fixed point
-                new = label.copy()
-                np.minimum.at(new, a, label[b])
-                np.minimum.at(new, b, label[a])
-                new = new[by_rank[new]]
-                if (new == label).all():
-                    break
-                label = new
-            root = ids[by_rank[label]]
-            on = np.flatnonzero((count > 0) | (root != ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(root[on]), pa.array(count[on])], names=["u", "v", "n"])
+                    m &= c[None, :] > r[:, None]
+                else:
+                    m &= ~guest[c][None, :] | (near[r][:, None] < near[c][None, :]) | ((near[r][:, None] == near[c][None, :]) & (ids[r][:, None] < ids[c][None, :]))
+                count[r] += m @ mult[c]
+                count[c] += mult[r] @ m
+                for k in np.flatnonzero(m.any(axis=1)).tolist():
+                    met = np.unique(np.append(label[c[m[k]]], label[r[k]]))
+                    if len(met) > 1:
+                        label[np.isin(label, met[1:])] = met[0]
+            on = np.flatnonzero(count)
+            if len(on):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[by_rank[label[on]]]), pa.array(count[on])], names=["u", "v", "n"])
 
     return kernel
 
@@ -130,16 +123,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, margin: float | None =
     is linked with, component_id is the smallest vec_id reachable. Vectors that are null or zero, or hold null or
     non-finite components, are linked with nothing, nor is a row without an id (its component is null). Shorter
     vectors compare as if zeros followed. Repeated rows are copies like others. k-means is fitted to SAMPLE vectors at
-    most; all are assigned. Centroids (MOST_CELLS at most) are broadcast. A cell of more vectors than a block is
-    compared in block pairs, from which counts and a spanning forest of links leave, not links. All links are found; a
-    margin (in radians) of less than acos(least) visits fewer cells and may lose some.
+    most; all are assigned. Centroids (one for CELL vectors, MOST_CELLS at most) are broadcast. A cell of more vectors
+    than a block is compared in block pairs, from which counts and a spanning forest of links leave, not links. All links
+    are found; a margin (in radians) of less than acos(least) visits fewer cells and may lose some.
     """
     margin = float(np.arccos(np.clip(least, -1, 1))) + SLACK if margin is None else margin
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    v = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long"), v.alias("v"))
     good = F.coalesce(usable("v") & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    rows = stored(rows.select("vec_id", F.when(good, F.col("v")).alias("v"), F.when(good, F.xxhash64("v")).alias("f1"), F.when(good, F.hash("v", F.lit(1))).alias("f2")), "vectors")
-    classes = stored(rows.where("v IS NOT NULL").groupBy("f1", "f2").agg(F.count("*").alias("mult"), F.min(F.struct("vec_id", "v")).alias("r")).select("f1", "f2", "mult", "r.*"), "classes")
+    rows = stored(rows.select("vec_id", F.when(good, F.col("v")).alias("v")), "vectors")
+    classes = stored(rows.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("mult"), F.min("vec_id").alias("vec_id")), "classes")
     n, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         alone = F.when(F.col("vec_id").isNotNull(), F.col("vec_id"))
@@ -149,6 +143,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, margin: float | None =
     if not sample.num_rows:
         sample = classes.select("vec_id", "v").limit(1).toArrow()
     centroids = spark.sparkContext.broadcast(_fit(_unit(_matrix(sample.column("v"), dims)), max(1, min(MOST_CELLS, n // CELL, sample.num_rows))))
+    seen = pa.list_(pa.struct([("cell", pa.int64()), ("angle", pa.float64())]))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centroids.value
@@ -156,25 +151,36 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, margin: float | None =
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 angle = np.arccos(np.clip(_unit(_matrix(part.column("v"), dims)) @ c.T, -1, 1))
-                home = angle.argmin(axis=1)
-                near = angle <= angle.min(axis=1, keepdims=True) + margin
-                near[np.arange(len(home)), home] = False
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("mult"), part.column("v"), pa.array(home), pa.array([np.flatnonzero(r) for r in near], pa.list_(pa.int64()))], names=["vec_id", "mult", "v", "home", "visits"])
-
-    placed = stored(mapped(classes.select("vec_id", "mult", "v"), assign, "vec_id long, mult long, v array<double>, home long, visits array<long>"), "cells")
-    sizes = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / HOMES).alias("nh"))
-    guests = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).alias("nv"))
-    shape = sizes.join(guests, "cell", "left").na.fill(0, ["nv"])
-    in_cells = placed.withColumn("cell", F.explode(F.concat(F.array("home"), F.col("visits")))).join(F.broadcast(shape), "cell")
-    dealt = in_cells.withColumn("d", F.explode(_deal())).select("cell", "d.pair", "d.side", "vec_id", "mult", "home", "visits", "v")
+                home, near = angle.argmin(axis=1), angle.min(axis=1)
+                reach = angle <= near[:, None] + margin
+                reach[np.arange(len(home)), home] = False
+                row, cell = np.nonzero(reach)
+                upto = np.searchsorted(row, np.arange(len(home) + 1)).astype(np.int32)
+                visits = pa.ListArray.from_arrays(pa.array(upto), pa.StructArray.from_arrays([pa.array(cell), pa.array(angle[row, cell])], names=["cell", "angle"]))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("mult"), part.column("v"), pa.array(home), pa.array(near), visits.cast(seen)], names=["vec_id", "mult", "v", "home", "near", "visits"])
+
+    kind = rows.schema["v"].dataType.simpleString()
+    placed = stored(mapped(classes.select("vec_id", "mult", "v"), assign, f"vec_id long, mult long, v {kind}, home long, near double, visits array<struct<cell: long, angle: double>>"), "cells")
+    sizes = stored(placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / HOMES).alias("nh"), F.max("near").alias("radius")), "sizes")
+    # one row for a cell, MOST_CELLS at most, so these are broadcast
+    guests = placed.select(F.explode("visits").alias("g")).select("g.*").join(F.broadcast(sizes), "cell").where(F.col("angle") <= F.col("radius") + F.lit(margin))
+    shape = stored(sizes.join(guests.groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).alias("nv")), "cell", "left").na.fill(0, ["nv"]), "shape")
+    own = placed.withColumn("g", F.explode(F.concat(F.array(F.struct(F.col("home").alias("cell"), F.lit(0.0).alias("angle"))), F.col("visits"))))
+    in_cells = own.select("vec_id", "mult", "near", "home", "v", "g.*").join(F.broadcast(shape), "cell").where((F.col("home") == F.col("cell")) | (F.col("angle") <= F.col("radius") + F.lit(margin)))
+    dealt = in_cells.withColumn("d", F.explode(_deal())).select("cell", "d.pair", "d.side", (F.col("home") != F.col("cell")).alias("guest"), "vec_id", "mult", "near", "v")
     found = stored(mapped(gathered(dealt, ["cell", "pair"]), _compare(least, dims), "u long, v long, n long"), "links")
+    dropped(placed, sizes, shape)
     comps = components(found)
     counts = found.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    named = classes.select("f1", "f2", "mult", F.col("vec_id").alias("node")).join(comps, "node", "left").join(counts, "node", "left").select(
-        "f1", "f2", F.coalesce("component", "node").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n")
+    named = classes.withColumnRenamed("vec_id", "node").join(comps, "node", "left").join(counts, "node", "left").select(
+        "v", F.coalesce("component", "node").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n")
     )
+    named = stored(named, "named")
     own = F.coalesce("c", "vec_id")
-    return rows.select("vec_id", "f1", "f2").join(named, ["f1", "f2"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    out = rows.join(named, "v", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    out = stored(out, "near")
+    dropped(rows, classes, found, comps, named)
+    return out
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
