@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshloom.functions import catalogs
 from meshloom.functions.geometry import dot, rounded, vec
 from meshloom.operators import bodies, bores, features, kernels, matching, outlines, polygons, reports, topology, verify
+from meshloom.operators.staging import kept
 from meshloom.plans.options import MANY_FACETS, Options
 from meshloom.sources import exchange, glb, step
 
@@ -68,7 +69,7 @@ def verify_meshes(vertex: DataFrame, triangle: DataFrame, n: int = 3000, source:
     """(mesh_id, no, gate, status) of the five gates. Where the (vertex, triangle) that meshes were made from are given,
     samples are taken there and held against the meshes; else against the surfaces of their own facets."""
     f = topology.facets(vertex, triangle)
-    seg = kernels.segment(f)
+    seg = kept(kernels.segment(f))
     s = seg.where("error IS NULL")
     surfaces, inliers = kernels.surfaces(seg), s.select("mesh_id", "surface_id", "tri")
     if source is None:
@@ -84,7 +85,7 @@ def verify_meshes(vertex: DataFrame, triangle: DataFrame, n: int = 3000, source:
 def gated(vertex: DataFrame, triangle: DataFrame, n: int = 3000, tolerance: float = 0.0) -> DataFrame:
     """verify_meshes() with limits that heed what was found: the share of freeform area as curvature, threads, the tolerance."""
     f = topology.facets(vertex, triangle)
-    seg = kernels.segment(f)
+    seg = kept(kernels.segment(f))
     surfaces = kernels.surfaces(seg)
     share = F.sum(F.when(F.col("type") == "freeform", F.col("area")).otherwise(0.0)) / F.sum("area")
     threads = features.holes(surfaces).where("designation IS NOT NULL").groupBy("mesh_id").agg(F.count("*").alias("threads"))
@@ -148,11 +149,11 @@ def converted(vertex: DataFrame, triangle: DataFrame, options: Options) -> DataF
         vertex, triangle = simplified(vertex, triangle, options.simplify_to)
     facet, labels = topology.sanitized(vertex, triangle)
     clean = facet.select("mesh_id", "tri", "i0", "i1", "i2")
-    segments = kernels.segment(facet)
-    surfaces, inliers = kernels.surfaces(segments), segments.where("error IS NULL").select("mesh_id", "surface_id", "tri")
-    shell = topology.shells(facet, labels)
-    hinge, prismatic = kinematics(facet, labels, segments)
-    hole = features.holes(surfaces)
+    segments = kept(kernels.segment(facet))
+    surfaces, inliers = kept(kernels.surfaces(segments)), segments.where("error IS NULL").select("mesh_id", "surface_id", "tri")
+    shell = kept(topology.shells(facet, labels))
+    hinge, prismatic = (kept(x) for x in kinematics(facet, labels, segments))
+    hole = kept(features.holes(surfaces))
     solid = shell.where("NOT is_cavity").withColumnRenamed("shell_id", "id")
     body = bodies.classified(solid, hinge)
     named = body.select("mesh_id", (F.col("no") - 1).cast("long").alias("idx"), "role", F.concat_ws("_", F.lit("body"), F.col("no").cast("string"), "role").alias("name"), F.col("id").alias("shell_id"))
@@ -160,16 +161,17 @@ def converted(vertex: DataFrame, triangle: DataFrame, options: Options) -> DataF
     given = matching.resolve_materials(matching.assign_materials(named.select("mesh_id", "idx", "role", "name"), spec).withColumnRenamed("material_id", "asked"), "asked").drop("asked")
     known = catalogs.materials(facet.sparkSession).select(F.col("id").alias("material_id"), "density_g_cm3", "red", "green", "blue", "transparency")
     made = named.join(given, ["mesh_id", "idx", "role", "name"]).join(F.broadcast(known), "material_id")  # 19 rows
+    made = kept(made)
     styled = made.select("mesh_id", "shell_id", "name", F.col("red").alias("r"), F.col("green").alias("g"), F.col("blue").alias("b"), "transparency", F.col("material_id").alias("material"), F.col("density_g_cm3").alias("density"))
     threads = hole.where("designation IS NOT NULL").select("mesh_id", "designation")
     files = lambda kind, t: exchange.solids(vertex, t, labels, shell, kind, styled, threads, surfaces, inliers)
     if options.representation == "auto":
         many = clean.groupBy("mesh_id").agg(F.count("*").alias("n")).where(F.col("n") > MANY_FACETS).select("mesh_id")
-        solids = files("faceted", clean.join(many, "mesh_id", "left_anti")).unionByName(files("tessellated", clean.join(many, "mesh_id", "left_semi"))).where("text LIKE '%CLOSED_SHELL(%' OR text LIKE '%TRIANGULATED_FACE(%'")
+        solids = files("faceted", clean.join(many, "mesh_id", "left_anti")).unionByName(files("tessellated", clean.join(many, "mesh_id", "left_semi")))
     else:
         solids = files(options.representation, clean)
     mass = reports.mass_rollup(shell.where("NOT is_cavity").join(made.select("mesh_id", "shell_id", "material_id"), ["mesh_id", "shell_id"]), catalogs.materials(facet.sparkSession))
-    analysis = topology.analyze(vertex, triangle)
+    analysis = kept(topology.analyze(vertex, triangle))
     doc = reports.summary(analysis, hole, prismatic, options.tier, features.blends(surfaces), kernels.bolt_circles(hole), mass)
     if options.out:
         gate = gated(vertex, triangle) if {"report", "heatmap"} & options.emit else None
