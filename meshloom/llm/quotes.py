@@ -1,9 +1,12 @@
 """Quotation linking in conversations: quote levels, passage hashes, originals, and reply order without quotes.
 
-Lines that begin with > are quoted, one level for each > (blanks between them are allowed). A quoted line, stripped of its
-marks and normalised (white space to single blanks, A-Z in lower case), is joined by hash to the latest earlier message
-of its conversation that wrote the same line itself. A message replies to the message that most of its first-level lines
-come from, the latest of equals; without a linked line it replies to the message before it. Reply order is the preorder
+Lines that begin with > are quoted, one level for each > (blanks between them are allowed). Neighbouring lines of one level
+are a passage. Lines and passages, stripped of their marks and normalised (white space to single blanks, A-Z in lower case),
+are joined by hash to the latest earlier message of the conversation that wrote the same line or passage itself; a line goes
+by its own link or else by its passage's, which a new wrapping of its lines does not change. A message replies to the
+message that most of its first-level lines come from, the latest of equals. Without such a line, nested levels decide: a
+line of level k points to the latest earlier message that has it at level k - 1, since that is what was quoted once more.
+Without any link a message replies to the one before it. Reply order is the preorder
 of that forest, replies to one message by turn: an Euler tour ranked by pointer doubling, in rounds logarithmic in the
 longest conversation, so that no task needs a whole conversation.
 """
@@ -43,30 +46,66 @@ def _before(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return df.withColumn("inside", F.max("value").over(within)).join(sums, [*keys, "bucket"]).withColumn("last", F.coalesce(F.greatest("inside", "earlier"), "inside", "earlier")).drop("value", "inside", "earlier", "bucket")
 
 
+def numbered(messages: DataFrame) -> DataFrame:
+    """messages (conv_id, turn, role, text) with seq, their place among all that have both keys, in order of conversation, turn,
+    role and text, null first; null for the others. Whatever turns are, and however often one repeats, places differ. Rows
+    are sorted by ranges (a running number parts equal rows), and ranges are counted."""
+    order = ["conv_id", "turn", F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    good = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    placed = messages.where(good).withColumn("salt", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(*order, "salt").sortWithinPartitions(*order, "salt").drop("salt")
+    whole = stored(placed.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "messages")
+    up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = whole.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("before"))
+    seq = (F.col("before") + F.col("at")).alias("seq")
+    named = whole.join(F.broadcast(before), "part").select("conv_id", "turn", "role", "text", seq)  # a row a range
+    return named.unionByName(messages.where(~good).withColumn("seq", F.lit(None).cast("long")))
+
+
+def _origins(rows: DataFrame, hashes: list[str]) -> DataFrame:
+    """rows (conv_id, seq, asks, ..) with `last`, the place and turn of the latest earlier row of the same hashes that doesn't ask."""
+    asked = rows.where("asks").select("conv_id", *hashes).distinct()
+    known = rows.join(asked, ["conv_id", *hashes], "left_semi")
+    return _before(known, ["conv_id", *hashes], F.when(~F.col("asks"), F.struct("seq", "turn"))).where("asks")
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, seq, role, parent_seq, parent_turn, n_quoted, n_linked, text) for each row of messages (conv_id, turn, role, text).
 
-    seq orders a conversation: turn, and rows that repeat a turn by role and text, null first (seq = turn * 2**20 + rank).
-    text has no quotes; a null text is empty. Rows with a null conv_id or turn belong to no conversation: no seq, parent
-    or link."""
-    again = Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    m = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    m = m.withColumn("k", F.row_number().over(again) - 1).withColumn("seq", F.when(F.col("conv_id").isNotNull(), F.col("turn") * (1 << 20) + F.col("k"))).drop("k")
-    m = stored(m, "messages")
+    seq is a message's place, in order of conversation and turn (any whole numbers), and of rows that repeat a turn by role and
+    text, null first. n_quoted counts quoted lines that aren't blank, n_linked those of them that an earlier message wrote
+    itself, as a line or within a passage. text has no quotes; a null text is empty. Rows with a null conv_id or turn belong
+    to no conversation: no seq, parent or link."""
+    m = stored(numbered(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")), "numbered")
     placed = m.where("seq IS NOT NULL")
-    lines = placed.select("conv_id", "seq", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select("conv_id", "seq", level(F.col("line")).alias("level"), normal(F.col("line")).alias("body"))
-    lines = lines.where("body <> ''").select("conv_id", "seq", "level", F.xxhash64("body").alias("h"), F.crc32("body").alias("h2"))
-    asked = lines.where("level > 0").select("conv_id", "h", "h2").distinct()
-    known = lines.join(asked, ["conv_id", "h", "h2"], "left_semi")
-    told = _before(known, ["conv_id", "h", "h2"], F.when(F.col("level") == 0, F.col("seq"))).where("level > 0")
-    votes = told.where("level = 1 AND last IS NOT NULL").groupBy("conv_id", "seq", "last").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy("conv_id", "seq").agg(F.max(F.struct("n", "last"))["last"].alias("origin"))
+    lines = placed.select("conv_id", "seq", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    lines = lines.select("conv_id", "seq", "turn", "i", level(F.col("line")).alias("level"), normal(F.col("line")).alias("body"))
+    # a passage ends where the level changes or a line is blank; windows and groups hold one message's lines
+    order = Window.partitionBy("seq").orderBy("i")
+    fresh = (F.col("body") == "") | (F.lag("body").over(order) == "") | (F.lag("level").over(order) != F.col("level"))
+    lines = lines.withColumn("passage", F.sum(F.coalesce(fresh.cast("long"), F.lit(1))).over(order)).where("body <> ''")
+    lines = lines.select("conv_id", "seq", "turn", "i", "level", "passage", F.xxhash64("body").alias("h"), F.crc32("body").alias("h2"), "body")
+    lines = stored(lines, "lines")
+    runs = lines.groupBy("conv_id", "seq", "turn", "passage").agg(F.first("level").alias("level"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "body"))), lambda x: x["body"]), " ").alias("whole"))
+    runs = runs.select("conv_id", "seq", "turn", "passage", "level", F.xxhash64("whole").alias("p"), F.crc32("whole").alias("p2"))
+    own = F.col("level") > 0
+    of_line = _origins(lines.select("conv_id", "seq", "turn", "i", "level", "passage", "h", "h2", own.alias("asks")), ["h", "h2"])
+    of_run = _origins(runs.select("conv_id", "seq", "turn", "passage", "p", "p2", own.alias("asks")), ["p", "p2"]).select("conv_id", "seq", "passage", F.col("last").alias("run_last"))
+    told = of_line.join(of_run, ["conv_id", "seq", "passage"], "left").withColumn("last", F.coalesce("last", "run_last"))
+    told = stored(told.select("conv_id", "seq", "turn", "i", "level", "h", "h2", "last"), "told")
+    # a line of level k asks at k - 1 for who has it there
+    deep = told.where("level > 1").select("conv_id", "seq", "turn", (F.col("level") - 1).alias("at"), "h", "h2", F.lit(True).alias("asks"))
+    has = lines.where("level > 0").select("conv_id", "seq", "turn", F.col("level").alias("at"), "h", "h2", F.lit(False).alias("asks"))
+    nested = _origins(deep.unionByName(has), ["at", "h", "h2"])
+    votes = told.where("level = 1 AND last IS NOT NULL").select("conv_id", "seq", F.lit(1).alias("first"), "last").unionByName(nested.where("last IS NOT NULL").select("conv_id", "seq", F.lit(0).alias("first"), "last"))
+    votes = votes.groupBy("conv_id", "seq", "first", "last").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy("conv_id", "seq").agg(F.max(F.struct("first", "n", "last"))["last"].alias("origin"))
     counts = told.groupBy("conv_id", "seq").agg(F.count("*").alias("n_quoted"), F.count("last").alias("n_linked"))
-    previous = _before(placed.select("conv_id", "seq"), ["conv_id"], F.col("seq")).select("conv_id", "seq", F.col("last").alias("previous"))
+    previous = _before(placed.select("conv_id", "seq", "turn"), ["conv_id"], F.struct("seq", "turn")).select("conv_id", "seq", F.col("last").alias("previous"))
     found = previous.join(chosen, ["conv_id", "seq"], "left").join(counts, ["conv_id", "seq"], "left")
     parent = F.coalesce("origin", "previous")
     return m.join(found, ["conv_id", "seq"], "left").select(
-        "conv_id", "turn", "seq", "role", parent.alias("parent_seq"), F.floor(parent / F.lit(1 << 20)).cast("long").alias("parent_turn"),
+        "conv_id", "turn", "seq", "role", parent["seq"].alias("parent_seq"), parent["turn"].alias("parent_turn"),
         F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), unquoted(F.col("text")).alias("text"),
     )
 
@@ -110,14 +149,28 @@ SQL = r"""
         SELECT conv_id, turn, i, len(regexp_replace(regexp_extract(line, '^[ \t]*(>[ \t]*)+'), '[^>]', '', 'g')) AS level,
             translate(trim(regexp_replace(regexp_replace(line, '^[ \t]*(>[ \t]*)+', ''), '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body, line
         FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations)),
+    marked AS (SELECT *, coalesce(body = '' OR lag(body) OVER w = '' OR lag(level) OVER w <> level, true)::INT AS fresh FROM lines WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+    parts AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY i) AS passage FROM marked),
+    passages AS (SELECT conv_id, turn, passage, any_value(level) AS level, string_agg(body, ' ' ORDER BY i) AS whole FROM parts WHERE body <> '' GROUP BY ALL),
+    run_told AS (
+        SELECT q.conv_id, q.turn, q.passage, max(o.turn) AS origin
+        FROM passages q JOIN passages o ON o.conv_id = q.conv_id AND o.whole = q.whole AND o.level = 0 AND o.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
     told AS (
-        SELECT q.conv_id, q.turn, q.i, q.level, max(o.turn) AS origin
-        FROM lines q LEFT JOIN lines o ON o.conv_id = q.conv_id AND o.body = q.body AND o.level = 0 AND o.turn < q.turn
+        SELECT q.conv_id, q.turn, q.i, q.level, coalesce(max(o.turn), any_value(r.origin)) AS origin
+        FROM parts q LEFT JOIN lines o ON o.conv_id = q.conv_id AND o.body = q.body AND o.level = 0 AND o.turn < q.turn
+        LEFT JOIN run_told r ON r.conv_id = q.conv_id AND r.turn = q.turn AND r.passage = q.passage
         WHERE q.level > 0 AND q.body <> '' GROUP BY ALL),
+    nested AS (
+        SELECT q.conv_id, q.turn, q.i, max(o.turn) AS origin
+        FROM lines q JOIN lines o ON o.conv_id = q.conv_id AND o.body = q.body AND o.level = q.level - 1 AND o.turn < q.turn
+        WHERE q.level > 1 AND q.body <> '' GROUP BY ALL),
+    votes AS (
+        SELECT conv_id, turn, 1 AS first, origin FROM told WHERE level = 1 AND origin IS NOT NULL
+        UNION ALL SELECT conv_id, turn, 0, origin FROM nested),
     chosen AS (
         SELECT conv_id, turn, origin FROM (
-            SELECT conv_id, turn, origin, row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, origin DESC) AS k
-            FROM told WHERE level = 1 AND origin IS NOT NULL GROUP BY conv_id, turn, origin) WHERE k = 1),
+            SELECT conv_id, turn, origin, row_number() OVER (PARTITION BY conv_id, turn ORDER BY first DESC, count(*) DESC, origin DESC) AS k
+            FROM votes GROUP BY conv_id, turn, first, origin) WHERE k = 1),
     counts AS (SELECT conv_id, turn, count(*) AS n_quoted, count(origin) AS n_linked FROM told GROUP BY conv_id, turn),
     own AS (SELECT conv_id, turn, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), '^\s+|\s+$', '', 'g') AS text FROM lines GROUP BY conv_id, turn),
     tree AS (
