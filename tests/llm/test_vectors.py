@@ -72,6 +72,7 @@ def test_no_vectors(spark):
 def test_topk_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "CANDIDATES", block)
     monkeypatch.setattr(topk, "QUERIES", block)
+    monkeypatch.setattr(topk, "LANE", 3)
     rnd = random.Random(1)
     rows = [(i, [rnd.choice([-1.0, -0.5, 0.25, 0.5, 1.0]) for _ in range(6)]) for i in range(150)] + [(300 + i, [0.5] * 6) for i in range(60)] + ODD + [(None, [1.0] * 6), (7, [0.25] * 6)]
     v = topk.quantized(frame(spark, rows))
@@ -92,7 +93,16 @@ def test_threshold_search_stops_early():
     rng = np.random.default_rng(2)
     v = np.floor(rng.exponential(size=(20_000, 2)) ** 3 * 64)
     q = np.array([[3.0, 1.0], [1.0, 2.0]])
-    a, b, s, depth = topk.threshold_search(v, np.arange(len(v)), q, np.array([-1, -2]), 5)
-    assert (depth < len(v)).all()
+    best = topk.Best(np.array([-1, -2]), q, 5)
+    for part in np.array_split(np.arange(len(v)), 4):
+        before = best.scored.copy()
+        best.go_through(v[part], part, topk.places(v[part]))
+        assert (best.scored - before < len(part) / 4).all()  # the bound, not the end of the lists
     for k in range(2):
-        assert s[a == k].tolist() == np.sort(v @ q[k])[::-1][:5].tolist()
+        assert best.scores[k].tolist() == np.sort(v @ q[k])[::-1][:5].tolist()
+
+
+def test_extreme_components_link(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1.0, 2.0]), (3, [1e-200, 2e-200]), (4, [2.0, -1.0]), (5, [5e-324, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(frame(spark, rows)).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
