@@ -557,7 +557,9 @@ def revolute_joints(spark, sf_dir):
     return matching.revolute_pairs(c)
 
 
-@query("SELECT k.nation, k.kept FROM (SELECT c_nationkey AS nation, count(*) AS kept FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey) AS m, max((n >= 8 AND (n >= 30 OR v >= 1))::INT) OVER (PARTITION BY c_nationkey) AS any_kept FROM (SELECT c_nationkey, c_custkey, c_custkey % 40 AS n, abs(c_acctbal / 1000) AS v FROM customer)) WHERE m = 1 OR (n >= 8 AND (n >= 30 OR v >= 1)) OR any_kept = 0 GROUP BY 1) k")
+@query("""WITH s AS (SELECT c_nationkey AS nation, c_custkey % 40 AS n, abs(c_acctbal / 1000) AS v FROM customer), r AS (SELECT *, n >= 8 AND (n >= 30 OR v >= 1) AS strict, n >= 8 AND (n >= 30 OR v >= 0.1e0) AS loose FROM s),
+    w AS (SELECT *, count(*) OVER (PARTITION BY nation) AS m, bool_or(strict) OVER (PARTITION BY nation) AS some_strict, bool_or(loose) OVER (PARTITION BY nation) AS some_loose FROM r)
+    SELECT nation, count(*) AS kept FROM w WHERE CASE WHEN m = 1 THEN true WHEN some_strict THEN strict WHEN some_loose THEN loose ELSE true END GROUP BY 1""")
 def debris_filter(spark, sf_dir):
     """Customers as the shells of a nation's mesh."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("mesh_id"), (F.col("c_custkey") % 40).alias("n_tri"), (F.col("c_acctbal") / F.lit(1000.0)).alias("signed_volume"))
