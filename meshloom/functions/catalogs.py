@@ -66,26 +66,67 @@ MATERIALS = [
     ("silicone", "elastomer", 1.15, 0.85, 0.88, 0.9, 0.4),
     ("carbon_fiber", "composite", 1.55, 0.2, 0.2, 0.22, 0.0),
 ]
-# other names of a material
-ALIASES = {
-    "glass": "glass glass_clear borosilicate pyrex",
-    "soda_lime_glass": "float_glass window_glass soda_lime",
-    "quartz": "silica fused_silica fused_quartz",
-    "acrylic": "pmma plexiglass plexi perspex",
-    "polycarbonate": "pc lexan makrolon",
-    "steel": "inox stainless stainless_steel ss316 ss316l ss304 metal",
-    "mild_steel": "iron carbon_steel aisi_1020",
-    "aluminum": "al alu aluminium al6061 6061",
-    "brass": "bronze c36000",
-    "copper": "cu c11000",
-    "titanium": "ti ti6al4v grade_5",
-    "pla": "plastic polylactic",
-    "nylon": "pa pa12 pa6 polyamide",
-    "pom": "delrin acetal polyacetal",
-    "rubber": "nbr nitrile gasket seal o_ring",
-    "silicone": "silicone_rubber",
-    "carbon_fiber": "carbon carb car cfrp",
-}
+# fixed values: another name of a material, and the material
+ALIASES = [
+    ("glass", "glass"),
+    ("glass_clear", "glass"),
+    ("borosilicate", "glass"),
+    ("pyrex", "glass"),
+    ("float_glass", "soda_lime_glass"),
+    ("window_glass", "soda_lime_glass"),
+    ("soda_lime", "soda_lime_glass"),
+    ("silica", "quartz"),
+    ("fused_silica", "quartz"),
+    ("fused_quartz", "quartz"),
+    ("pmma", "acrylic"),
+    ("plexiglass", "acrylic"),
+    ("plexi", "acrylic"),
+    ("perspex", "acrylic"),
+    ("pc", "polycarbonate"),
+    ("lexan", "polycarbonate"),
+    ("makrolon", "polycarbonate"),
+    ("inox", "steel"),
+    ("stainless", "steel"),
+    ("stainless_steel", "steel"),
+    ("ss316", "steel"),
+    ("ss316l", "steel"),
+    ("ss304", "steel"),
+    ("metal", "steel"),
+    ("iron", "mild_steel"),
+    ("carbon_steel", "mild_steel"),
+    ("aisi_1020", "mild_steel"),
+    ("al", "aluminum"),
+    ("alu", "aluminum"),
+    ("aluminium", "aluminum"),
+    ("al6061", "aluminum"),
+    ("6061", "aluminum"),
+    ("bronze", "brass"),
+    ("c36000", "brass"),
+    ("cu", "copper"),
+    ("c11000", "copper"),
+    ("ti", "titanium"),
+    ("ti6al4v", "titanium"),
+    ("grade_5", "titanium"),
+    ("plastic", "pla"),
+    ("polylactic", "pla"),
+    ("pa", "nylon"),
+    ("pa12", "nylon"),
+    ("pa6", "nylon"),
+    ("polyamide", "nylon"),
+    ("delrin", "pom"),
+    ("acetal", "pom"),
+    ("polyacetal", "pom"),
+    ("nbr", "rubber"),
+    ("nitrile", "rubber"),
+    ("gasket", "rubber"),
+    ("seal", "rubber"),
+    ("o_ring", "rubber"),
+    ("silicone_rubber", "silicone"),
+    ("carbon", "carbon_fiber"),
+    ("carb", "carbon_fiber"),
+    ("car", "carbon_fiber"),
+    ("cfrp", "carbon_fiber"),
+]
 
 
 def threads(spark: SparkSession) -> DataFrame:
@@ -101,5 +142,5 @@ def materials(spark: SparkSession) -> DataFrame:
 def names(spark: SparkSession) -> DataFrame:
     """(name, id): each material's id and its aliases; an id wins over an alias of the same name."""
     known = {m[0]: m[0] for m in MATERIALS}
-    rows = list(known.items()) + [(a, m) for m, text in ALIASES.items() for a in text.split() if a not in known]
+    rows = list(known.items()) + [(a, m) for a, m in ALIASES if a not in known]
     return spark.createDataFrame(rows, "name string, id string")

@@ -221,7 +221,7 @@ def thread_pair_match(spark, sf_dir):
 
 
 _KEY = r"regexp_replace(trim(regexp_replace(lower(p_name), '[()\[\]{}/\\.,;:]+', ' ', 'g')), '[\s\-_]+', '_', 'g')"
-_NAMES = "names(name, id) AS (VALUES " + ", ".join(f"('{a}', '{m}')" for a, m in ([(m[0], m[0]) for m in catalogs.MATERIALS] + [(a, m) for m, t in catalogs.ALIASES.items() for a in t.split() if a != m])) + ")"
+_NAMES = "names(name, id) AS (VALUES " + ", ".join(f"('{a}', '{m}')" for a, m in ([(m[0], m[0]) for m in catalogs.MATERIALS] + [(a, m) for a, m in catalogs.ALIASES if a != m])) + ")"
 _LONG = [(i, m[0]) for i, m in enumerate(catalogs.MATERIALS) if len(m[0]) >= 5]
 
 
