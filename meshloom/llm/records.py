@@ -26,8 +26,9 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import Spans, held, mapped, new_path, slices, text_bytes
+from .common import classes, held, joined, mapped, new_path, slices, text_bytes
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -82,8 +83,8 @@ class WordEncoder:
 
     Texts of ASCII and Latin-1 letters without an apostrophe (which can split letters) are cut into these pieces here, on
     the bytes of a whole slice; each different piece is encoded once for a worker, new runs of letters as one text in which
-    each is a word of the tokenizer's. Any other text goes to the tokenizer whole. Pieces are remembered by hash in two
-    generations, so that a full memory forgets the older half."""
+    each is a word of the tokenizer's. Any other text goes to the tokenizer whole. Pieces are remembered by their bytes in
+    two generations, so that a full memory forgets the older half."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,13 +92,14 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, keys: list[bytes]) -> None:
+        pieces = [k.decode() for k in keys]
         words = [k for k, p in enumerate(pieces) if p.isalpha() and len(p) <= CACHED_LENGTH]
         rest = sorted({*range(len(pieces))}.difference(words))
         if words:
@@ -108,9 +110,9 @@ class WordEncoder:
                 rest, words, ends = list(range(len(pieces))), [], []
             raw, at = ids.tobytes(), 0
             for k, end in zip(words, ends, strict=True):
-                self.known[hashes[k]] = raw[at:end]
+                self.known[keys[k]] = raw[at:end]
                 at = end
-        self.known.update(zip([hashes[k] for k in rest], self._batch([pieces[k] for k in rest]), strict=True))
+        self.known.update(zip([keys[k] for k in rest], self._batch([pieces[k] for k in rest]), strict=True))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, where each row's begin and one more at the end)."""
@@ -139,27 +141,20 @@ class WordEncoder:
         cuts = np.append(np.flatnonzero(new), len(raw))
         on = kind[cuts[:-1]] > 0
         starts, stops = cuts[:-1][on], cuts[1:][on]
-        hashes, one, inverse = np.unique(Spans(low).of(starts, stops), return_index=True, return_inverse=True)
+        one, inverse = classes(low, starts, stops)
+        data = low.tobytes()
+        keys = [data[a:b] for a, b in zip(starts[one].tolist(), stops[one].tolist(), strict=True)]
         if len(self.known) > CACHED_WORDS:
             self.known, self.old = {}, self.known
-        known, old, keys = self.known, self.old, hashes.tolist()
-        fresh = [k for k, h in enumerate(keys) if h not in known]
-        ask = []
-        for k in fresh:
-            if keys[k] in old:
-                known[keys[k]] = old[keys[k]]
-            else:
-                ask.append(k)
-        if ask:
-            data, a, b = low.tobytes(), starts[one].tolist(), stops[one].tolist()
-            self._learn([keys[k] for k in ask], [data[a[k] : b[k]].decode() for k in ask])
-        parts = [known[h] for h in keys]
+        known, old = self.known, self.old
+        for k in keys:
+            if k not in known and k in old:
+                known[k] = old[k]
+        if ask := [k for k in keys if k not in known]:
+            self._learn(list(dict.fromkeys(ask)))
+        parts = [known[k] for k in keys]
         size = np.array([len(p) >> 2 for p in parts], np.int64)
-        flat = np.frombuffer(b"".join(parts), np.uint32)
-        at = (np.cumsum(size) - size)[inverse]
-        n = size[inverse]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(at - upto[:-1], n) + np.arange(upto[-1])]
+        ids, upto = joined(np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size, size, inverse)
         row = upto[np.searchsorted(starts, ends)]
         if len(whole):
             text = column.take(pa.array(whole)).to_pylist()
@@ -187,7 +182,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id
 
     d = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     n = files or max(1, 2 * d.rdd.getNumPartitions())
-    sorted_docs = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # a hash of the text within doc_id, so that an id which many rows share makes no file of its own
+    sorted_docs = d.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     mapped(sorted_docs, kernel, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
     index(docs.sparkSession, path).write.parquet(f"{path}/index")
 
@@ -248,11 +244,35 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
     return i.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(files, "file_no").select("file_no", "at", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def shuffled(spark: SparkSession, path: str, seed: int, shards: int = 8) -> DataFrame:
-    """(shard, place, doc_id, ids): all records in an order that `seed` fixes, dealt evenly to shards by the index's record addresses."""
-    key = F.xxhash64(F.lit(seed), "file_no", "at")
-    return read_records(spark, path).withColumn("place", key).withColumn("shard", F.pmod("place", F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "place", "doc_id", "ids")
+def fetched(spark: SparkSession, path: str, addresses: DataFrame) -> DataFrame:
+    """The records at addresses (rows of the index, with any other columns), each with doc_id and ids read anew from its
+    bytes, checksums verified. A file's addresses meet its content in one row; only their byte ranges are read."""
+    extra = [c for c in addresses.columns if c not in ("file", "offset", "length", "doc_id", "ids")]
+    per = addresses.groupBy("file").agg(F.collect_list(F.struct("offset", "length", *extra)).alias("wanted"))
+    kinds = addresses.select(*extra).schema
+    row = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                content, wanted = memoryview(batch.column("content")[k].as_buffer()), batch.column("wanted").slice(k, 1).flatten()
+                for at in range(0, len(wanted), 256):
+                    part = wanted.slice(at, 256)
+                    got = [next(frames(content[o : o + n])) for o, n in zip(part.field("offset").to_pylist(), part.field("length").to_pylist(), strict=True)]
+                    cols = [pa.array([g[2] for g in got], row.field(0).type), pa.array([g[3].astype("<u4").view(np.int32) for g in got], row.field(1).type)]
+                    yield pa.RecordBatch.from_arrays([*cols, *(part.field(c) for c in extra)], names=["doc_id", "ids", *extra])
 
+    files = _files(spark, path).select("file", "content").join(per, "file")
+    return mapped(files, kernel, StructType([StructField("doc_id", LongType()), StructField("ids", ArrayType(IntegerType())), *kinds.fields]))
+
+
+def shuffled(spark: SparkSession, path: str, seed: int, shards: int = 8, only: int | None = None) -> DataFrame:
+    """(shard, place, doc_id, ids): all records, or those of one shard, in an order that `seed` fixes. The index is
+    shuffled and dealt evenly to shards, and records are fetched by file, offset and length."""
+    key = F.xxhash64(F.lit(seed), "file_no", "at")
+    at = spark.read.parquet(f"{path}/index").withColumn("place", key).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
+    got = fetched(spark, path, (at if only is None else at.where(F.col("shard") == only)).select("file", "offset", "length", "shard", "place"))
+    return got.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "place", "doc_id", "ids")
 
 
 def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
