@@ -7,6 +7,8 @@ facets are joins and sums.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from meshloom.functions.catalogs import PREFERRED, THREADS
 from meshloom.functions.geometry import dot, line_distance, norm, rounded, scale, sub, vec
 from meshloom.functions.text import thread_pitch, thread_size
-from meshloom.operators.kernels import arc, grouped
+from meshloom.operators.kernels import arc, frame, grouped
 from meshloom.operators.matching import FIRST_SERIES, SECOND_SERIES
 
 BINS = 36
@@ -67,6 +69,7 @@ def counterbored(d0: Column, d1: Column, h0: Column, h1: Column) -> Column:
     return one | ((step >= 0.8) & (F.least(h0, h1) < 0.75 * F.greatest(h0, h1)))
 
 
+@lru_cache(1 << 16)
 def _score_pair(bore: float, crest: float) -> tuple[float, int] | None:
     best = None
     for k, (_, nominal, _, drill, *_) in enumerate(THREADS):
@@ -77,6 +80,7 @@ def _score_pair(bore: float, crest: float) -> tuple[float, int] | None:
     return best
 
 
+@lru_cache(1 << 16)
 def _score_single(d: float) -> tuple[float, int] | None:
     best = None
     for k, (_, nominal, _, drill, _, minor) in enumerate(THREADS):
@@ -97,6 +101,62 @@ def _apart(p: np.ndarray, q: np.ndarray) -> tuple[float, float, float]:
     return abs(float(p[3:] @ q[3:])), float(np.linalg.norm(w - t * p[3:])), t
 
 
+def _coaxial(p: np.ndarray, reach: np.ndarray, along: float, block: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others) for each of the lines p (origin, axis) that has any, in order: the lines whose origins lie within reach[i] of
+    i's and whose axes are parallel to i's (|dot| of `along` at least), in order.
+
+    Lines of like direction share a grid across it, whose cells are as wide as their reach, with what their directions differ
+    over the mesh's extent; what meets there is measured, block by block. Lines that have no axis or no place meet none."""
+    o, a, n = p[:, :3], p[:, 3:], len(p)
+    size = np.linalg.norm(a, axis=1)
+    fine = np.flatnonzero(np.isfinite(p).all(axis=1) & np.isfinite(reach) & (size > 0))
+    if len(fine) < 2:
+        return
+    base = o[fine].min(axis=0)
+    extent = float(np.linalg.norm(o[fine].max(axis=0) - base)) + 1.0
+    unit = a[fine] / size[fine, None]
+    unit *= np.where(unit[np.arange(len(fine)), np.abs(unit).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+    step = min(0.25, max(1e-9, 0.25 * float(np.median(reach[fine])) / extent))
+    while len((found := np.unique(np.round(unit / step), axis=0, return_inverse=True))[0]) > 64 and step < 0.25:
+        step *= 4
+    of = found[1].ravel()
+    begin, end, flat, held = np.zeros((n, 3), np.int64), np.zeros((n, 3), np.int64), [], 0
+    for g in range(len(found[0])):
+        own, axis = fine[of == g], unit[of == g][0]
+        lean = float(np.linalg.norm(unit[of == g] - axis, axis=1).max())
+        to = fine[np.abs(a[fine] @ axis) + lean * size[fine] >= along / size[own].max() - 1e-9]
+        flat_of, across = np.column_stack(frame(axis)), reach[own] + lean * extent + 1e-9 * extent
+        tier = np.ceil(np.log2(across))
+        for k in np.unique(tier):
+            wide = max(2.0**k, extent / 1e9)
+            row = int(2 * extent / wide) + 4
+            cell = lambda i: (lambda c: (c[:, 0] + 1) * row + c[:, 1] + 1)(np.floor(((o[i] - base) @ flat_of + extent) / wide).astype(np.int64))  # noqa: B023, E731
+            some, keys = own[tier == k], cell(to)
+            order = np.argsort(keys, kind="stable")
+            for s, off in enumerate((-row, 0, row)):
+                begin[some, s] = held + np.searchsorted(keys[order], cell(some) + off - 1)
+                end[some, s] = held + np.searchsorted(keys[order], cell(some) + off + 1, side="right")
+            flat.append(to[order])
+            held += len(to)
+    other, upto = np.concatenate(flat), np.cumsum((end - begin).sum(axis=1))
+    at = 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + block, side="right")))
+        many, first = (end - begin)[at:stop].ravel(), begin[at:stop].ravel()
+        i = np.repeat(np.repeat(np.arange(at, stop), 3), many)
+        j = other[np.arange(len(i)) + np.repeat(first - np.cumsum(many) + many, many)]
+        w = o[j] - o[i]
+        off = np.linalg.norm(w - (w * a[i]).sum(axis=1)[:, None] * a[i], axis=1)
+        ok = (i != j) & (np.abs((a[i] * a[j]).sum(axis=1)) >= along) & (off <= reach[i])
+        i, j = i[ok], j[ok]
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        new = np.flatnonzero(np.diff(i, prepend=-1))
+        for x, until in zip(new.tolist(), [*new[1:].tolist(), len(i)], strict=False):
+            yield int(i[x]), j[x:until]
+        at = stop
+
+
 def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
     one = pdf.drop_duplicates("id").sort_values("id").reset_index(drop=True)
     at = {i: g["theta"].to_numpy(float) for i, g in pdf.groupby("id")}
@@ -133,21 +193,24 @@ HOLE = "mesh_id string, id long, kind string, diameter double, depth double, x d
 def _pair(pdf: pd.DataFrame) -> pd.DataFrame:
     c = pdf.sort_values("id").reset_index(drop=True)
     p, height, used, rows = c[_AXIS].to_numpy(float), c["height"].to_numpy(float).copy(), set(), []
-    for i in range(len(c)):
-        for j in range(len(c)):
-            if i == j or i in used or j in used:
+    radius, ids = c["radius"].tolist(), c["id"].tolist()
+    for i, others in _coaxial(p, np.full(len(c), 1.25), 0.95):
+        for j in others.tolist():
+            if i in used:
+                break
+            if j in used:
                 continue
-            along, off, t = _apart(p[i], p[j])
-            if along < 0.95 or off >= 1.25:
+            _, off, t = _apart(p[i], p[j])
+            if off >= 1.25:
                 continue
-            lo, hi = (i, j) if c.radius[i] < c.radius[j] else (j, i)
-            d, wide = 2 * c.radius[lo], 2 * c.radius[hi]
+            lo, hi = (i, j) if radius[i] < radius[j] else (j, i)
+            d, wide = 2 * radius[lo], 2 * radius[hi]
             depth = max(height[i], height[j], abs(t) + min(height[i], height[j]))
             fit = _score_pair(d, wide) or _score_single(d) or _score_single(wide)
             name, nominal, pitch, drill = THREADS[fit[1]][:4] if fit else (None, 0.0, 0.0, 0.0)
             ratio, step = wide / d, (wide - d) / 2
             bored = (1.30 <= ratio <= 2.50 and min(height[i], height[j]) >= 1 and step >= 0.5) or (step >= 0.8 and min(height[i], height[j]) < 0.75 * max(height[i], height[j]))
-            members = ",".join(map(str, sorted((c.id[i], c.id[j]))))
+            members = ",".join(map(str, sorted((ids[i], ids[j]))))
             if fit and wide - d <= max(1.8, 2 * pitch):
                 rows.append(("tapped", drill, depth, *p[lo], name, pitch, None, members))
             elif bored:
@@ -161,9 +224,9 @@ def _pair(pdf: pd.DataFrame) -> pd.DataFrame:
             used |= {i, j}
     for i in range(len(c)):
         if i not in used:
-            fit = _score_single(2 * c.radius[i])
+            fit = _score_single(2 * radius[i])
             name, _, pitch = THREADS[fit[1]][:3] if fit else (None, None, None)
-            rows.append(("single", 2 * c.radius[i], height[i], *p[i], name, pitch, None, str(c.id[i])))
+            rows.append(("single", 2 * radius[i], height[i], *p[i], name, pitch, None, str(ids[i])))
     out = pd.DataFrame(rows, columns=[x.split()[0] for x in HOLE.split(", ")][2:])
     out.insert(0, "id", np.arange(len(out)))
     out.insert(0, "mesh_id", pdf["mesh_id"].iloc[0])
