@@ -158,25 +158,46 @@ def _coaxial(p: np.ndarray, reach: np.ndarray, along: float, block: int = 1 << 2
 
 
 def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-    one = pdf.drop_duplicates("id").sort_values("id").reset_index(drop=True)
-    at = {i: g["theta"].to_numpy(float) for i, g in pdf.groupby("id")}
-    rows = [{"row": r, "p": np.array([getattr(r, c) for c in _AXIS]), "theta": at[r.id], "height": r.height, "span": arc(at[r.id]), "members": [r.id]} for r in one.itertuples()]
+    """Always the first pair of rows, by place, that can be merged. A merge changes only what its row can do, so rows before it
+    are tried with that row alone, and no pair that failed is tried again before one of it has grown."""
+    pdf = pdf.sort_values("id", kind="stable")
+    ids, start = np.unique(pdf["id"].to_numpy(), return_index=True)
+    one = pdf.iloc[start].reset_index(drop=True)
+    theta = np.split(pdf["theta"].to_numpy(float), start[1:])
+    p, radius, height = one[_AXIS].to_numpy(float), one["radius"].to_numpy(float), one["height"].to_numpy(float).copy()
+    side, span, members = pd.factorize(one["is_internal"])[0], [arc(t) for t in theta], [[i] for i in ids.tolist()]
+    later: dict[int, list[int]] = {}
+    earlier: dict[int, list[int]] = {}
+    for i, j in _coaxial(p, np.maximum(0.35, 0.12 * radius), 0.98):
+        near = np.maximum(0.35, 0.12 * np.minimum(radius[i], radius[j]))
+        w = p[j, :3] - p[i, :3]
+        off = np.linalg.norm(w - (w @ p[i, 3:])[:, None] * p[i, 3:], axis=1)
+        later[i] = j[(j > i) & (side[j] == side[i]) & (np.abs(radius[j] - radius[i]) <= near) & (off <= near)].tolist()
+        for k in later[i]:
+            earlier.setdefault(k, []).append(i)
+    there = [True] * len(ids)
+
+    def merged(i: int, j: int) -> bool:
+        if not (there[i] and there[j]):
+            return False
+        both = np.concatenate([theta[i], theta[j]])
+        if not (turn := arc(both)) > max(span[i], span[j]):
+            return False
+        t = _apart(p[i], p[j])[2]
+        height[i] = max(height[i], height[j], abs(t) + min(height[i], height[j]))
+        theta[i], span[i], there[j] = both, turn, False
+        members[i] += members[j]
+        return True
+
     k = 0
-    while k < len(rows):
-        a, grown = rows[k], False
-        for b in rows[k + 1 :]:
-            near = max(0.35, 0.12 * min(a["row"].radius, b["row"].radius))
-            along, off, t = _apart(a["p"], b["p"])
-            if a["row"].is_internal != b["row"].is_internal or abs(a["row"].radius - b["row"].radius) > near or along < 0.98 or off > near:
-                continue
-            theta = np.concatenate([a["theta"], b["theta"]])
-            if arc(theta) > max(a["span"], b["span"]):
-                a.update(theta=theta, span=arc(theta), height=max(a["height"], b["height"], abs(t) + min(a["height"], b["height"])), members=a["members"] + b["members"])
-                rows.remove(b)
-                grown = True
-                break
-        k = 0 if grown else k + 1
-    out = [(pdf["mesh_id"].iloc[0], r["row"].id, *r["p"], r["row"].radius, r["height"], r["span"], r["row"].is_internal, ",".join(map(str, sorted(r["members"])))) for r in rows]
+    while k < len(ids):
+        if not any(merged(k, j) for j in later.get(k, ())):
+            k += 1
+            continue
+        while (i := next((i for i in earlier.get(k, ()) if merged(i, k)), None)) is not None:
+            k = i
+    rows = [k for k in range(len(ids)) if there[k]]
+    out = [(pdf["mesh_id"].iloc[0], ids[k], *p[k], radius[k], height[k], span[k], one["is_internal"].iloc[k], ",".join(map(str, sorted(members[k])))) for k in rows]
     return pd.DataFrame(out, columns=[c.split()[0] for c in CYLINDER.split(", ")])
 
 
