@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.catalogs import PREFERRED, THREADS
-from meshloom.functions.geometry import dot, line_distance, norm, rounded, scale, sub, vec
+from meshloom.functions.geometry import cross, dot, line_distance, norm, rounded, scale, sub, unit, vec
 from meshloom.functions.text import thread_pitch, thread_size
 from meshloom.operators.kernels import arc, frame, grouped
 from meshloom.operators.matching import FIRST_SERIES, SECOND_SERIES
@@ -333,15 +333,41 @@ def hinges(pairs: DataFrame) -> DataFrame:
     return grouped(pairs.select("mesh_id", "socket", "pin", "clearance", "overlap", *_AXIS), _hinges, HINGE)
 
 
+CELL = 8.0  # of the grid across a loop's normal
+
+
 def through_holes(loops: DataFrame) -> DataFrame:
     """(mesh_id, top, bottom, offset): hole loops (mesh_id, id, x..z, nx..nz of their plane, radius) on planes that face apart,
-    each with the one whose centre is nearest across the axis, within half a radius (0.5 to 3.5), if it is that one's nearest too."""
-    a, b = loops.alias("a"), loops.alias("b")
-    n, m = vec("a.nx", "a.ny", "a.nz"), vec("b.nx", "b.ny", "b.nz")
-    off = line_distance(vec("b.x", "b.y", "b.z"), vec("a.x", "a.y", "a.z"), n)
-    near = F.least(F.lit(3.5), F.greatest(F.lit(0.5), 0.5 * F.col("a.radius")))
-    pairs = a.join(b, (F.col("a.mesh_id") == F.col("b.mesh_id")) & (F.col("a.id") < F.col("b.id")) & (dot(n, m) <= -0.85)).where(off < near)
-    p = pairs.select("a.mesh_id", F.col("a.id").alias("top"), F.col("b.id").alias("bottom"), off.alias("offset"))
+    each with the one whose centre is nearest across the axis, within half a radius (0.5 to 3.5), if it is that one's nearest too.
+    Loops meet in a grid across each different normal of their mesh."""
+    place, turn = ("x", "y", "z"), ("nx", "ny", "nz")
+    f = loops.select("mesh_id", "id", *[F.col(c).cast("double").alias(c) for c in (*place, *turn, "radius")])
+    near = F.least(F.lit(3.5), F.greatest(F.lit(0.5), 0.5 * F.col("radius")))
+    # a loop goes to the cells across its normal that it can reach, and one that faces apart to its own cell there
+    names = dict(zip(turn, ("mx", "my", "mz"), strict=True))
+    steep = F.abs(F.col("ex")) > 0.8
+    side = [F.when(steep, p).otherwise(q) for p, q in ((-F.col("ez"), F.lit(0.0)), (F.lit(0.0), F.col("ez")), (F.col("ex"), -F.col("ey")))]
+
+    def with_sides(df: DataFrame) -> DataFrame:
+        """df with u and v, two vectors across the axis m and each other, of length 0.6 to 1; step by step, so that plans stay small."""
+        df = df.withColumns(dict(zip(("ex", "ey", "ez"), unit(vec("mx", "my", "mz")), strict=True)))
+        df = df.withColumns(dict(zip(("ux", "uy", "uz"), side, strict=True)))
+        return df.withColumns(dict(zip(("vx", "vy", "vz"), cross(vec("ex", "ey", "ez"), vec("ux", "uy", "uz")), strict=True)))
+
+    flat = lambda df: df.withColumns({k: dot(vec(*place), vec(f"{k}x", f"{k}y", f"{k}z")) for k in "uv"}).where("abs(u) < 1e15 AND abs(v) < 1e15")
+    reach = near + 0.1
+    cells = lambda c: F.sequence(F.floor((F.col(c) - reach) / CELL), F.floor((F.col(c) + reach) / CELL))
+    grid = ["mesh_id", "mx", "my", "mz", "gu", "gv"]
+    a = flat(with_sides(f.withColumns({m: F.col(k) for k, m in names.items()})))
+    a = a.withColumn("gu", F.explode(cells("u"))).withColumn("gv", F.explode(cells("v")))
+    a = a.select(*grid, F.col("id").alias("top"), *[F.col(c).alias(f"a{c}") for c in place], near.alias("near"))
+    axes = with_sides(f.select("mesh_id", *[F.col(k).alias(m) for k, m in names.items()]).distinct())
+    # loops that were made by explode are many times what Spark takes them for, too many to be broadcast
+    b = flat(f.join(axes.hint("merge"), "mesh_id").where(dot(vec(*turn), vec("mx", "my", "mz")) <= -0.85))
+    b = b.withColumns({f"g{c}": F.floor(F.col(c) / CELL) for c in "uv"}).select(*grid, F.col("id").alias("bottom"), *[F.col(c).alias(f"b{c}") for c in place])
+    off = line_distance(vec("bx", "by", "bz"), vec("ax", "ay", "az"), vec("mx", "my", "mz"))
+    met = a.join(b.hint("merge"), grid).where((F.col("top") < F.col("bottom")) & (off < F.col("near")))
+    p = met.select("mesh_id", "top", "bottom", off.alias("offset"))
     best = lambda k, o: F.row_number().over(Window.partitionBy("mesh_id", k).orderBy("offset", o))  # noqa: E731  the few loops near one
     return p.withColumn("i", best("top", "bottom")).withColumn("j", best("bottom", "top")).where("i = 1 AND j = 1").drop("i", "j")
 
