@@ -230,7 +230,8 @@ def loop_metrics(loops: DataFrame, keys: list[str]) -> DataFrame:
     id_ = [*keys, "loop_id"]
     c = loops.groupBy(*id_).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     r = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))
-    p = loops.join(c, id_).withColumn("r", r)
+    # centres are as many as loops, whose size Spark takes too small where they were made by explode: never broadcast
+    p = loops.join(c.hint("merge"), id_).withColumn("r", r)
     return p.groupBy(*id_).agg(F.count("*").alias("n"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.avg("r").alias("radius"), F.coalesce(F.try_divide(F.min("r"), F.max("r")), F.lit(0.0)).alias("roundness"))
 
 
