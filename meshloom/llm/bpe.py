@@ -19,7 +19,7 @@ from .common import classes, held, joined, mapped, slices, text_bytes
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CACHED_UNITS = 250_000
 CACHED_LENGTH = 200
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
