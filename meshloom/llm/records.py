@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import classes, held, joined, mapped, new_path, slices, text_bytes
+from .common import _LOWER, classes, held, joined, mapped, new_path, slices, text_bytes
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -67,14 +67,13 @@ def frames(data: bytes | memoryview) -> Iterator[tuple[int, int, int | None, np.
         at += 17 + n
 
 
-_LETTER, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
-_PLAIN[9:14] = _PLAIN[32:127] = _PLAIN[0x80:0xC0] = _PLAIN[0xC3] = True
-_PLAIN[ord("'")] = False
-_SPACE = np.zeros(256, bool)
-_SPACE[9:14] = _SPACE[32] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
+_ODD = np.ones(256, bool)
+_ODD[9:14] = _ODD[32:127] = _ODD[0x80:0xC0] = _ODD[0xC3] = False
+_ODD[ord("'")] = True
+_KIND = np.full(256, 3, np.int8)  # white space, letters, digits, other marks
+_KIND[9:14] = _KIND[32] = 0
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
+_KIND[48:58] = 2
 
 
 class WordEncoder:
@@ -118,19 +117,19 @@ class WordEncoder:
         """(ids of all rows, where each row's begin and one more at the end)."""
         raw, ends = text_bytes(column)
         rows = len(ends) - 1
-        odd = np.zeros(len(raw) + 1, np.int32)
-        np.cumsum(~_PLAIN[raw], out=odd[1:])
-        lead = np.append(raw == 0xC3, False)
-        follow = np.append((raw >= 0x80) & (raw < 0xC0), False)
+        high = np.flatnonzero(raw >= 0x80)
+        lead = raw[high] == 0xC3
+        second = high[lead] + 1
+        second = second[second < len(raw)]
+        after = raw[second]
+        follow = high[(raw[high] < 0xC0) & (high > 0)]
         # a continuation byte follows its lead, and U+00D7 and U+00F7 are no letters
-        wrong = np.zeros(len(raw) + 1, bool)
-        wrong[1:] |= lead[:-1] != follow[1:]
-        wrong[1:-1] |= lead[:-2] & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
-        odd[1:] += np.cumsum(wrong[:-1], dtype=np.int32)
-        whole = np.flatnonzero(odd[ends[1:]] > odd[ends[:-1]])
-        low = raw + 32 * ((raw >= 65) & (raw <= 90)).astype(np.uint8)
-        low[1:][lead[:-2] & (raw[1:] < 0x9F)] += 32
-        kind = np.where(_LETTER[raw], 1, np.where(_SPACE[raw], 0, np.where(_DIGIT[raw], 2, 3))).astype(np.int8)
+        wrong = (after < 0x80) | (after >= 0xC0) | (after == 0x97) | (after == 0xB7)
+        odd = np.concatenate([np.flatnonzero(_ODD[raw]), second[wrong], follow[raw[follow - 1] != 0xC3]])
+        whole = np.unique(np.searchsorted(ends, odd, side="right") - 1)
+        low = _LOWER[raw]
+        low[second[after < 0x9F]] += 32
+        kind = _KIND[raw]
         for k in whole.tolist():
             kind[ends[k] : ends[k + 1]] = 0
         new = kind == 2
@@ -147,13 +146,20 @@ class WordEncoder:
         if len(self.known) > CACHED_WORDS:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        for k in keys:
-            if k not in known and k in old:
-                known[k] = old[k]
-        if ask := [k for k in keys if k not in known]:
-            self._learn(list(dict.fromkeys(ask)))
-        parts = [known[k] for k in keys]
-        size = np.array([len(p) >> 2 for p in parts], np.int64)
+        parts = list(map(known.get, keys))
+        if None in parts:
+            missing = [k for k, p in enumerate(parts) if p is None]
+            ask = []
+            for k in dict.fromkeys([keys[k] for k in missing]):
+                if k in old:
+                    known[k] = old[k]
+                else:
+                    ask.append(k)
+            if ask:
+                self._learn(ask)
+            for k in missing:
+                parts[k] = known[keys[k]]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
         ids, upto = joined(np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size, size, inverse)
         row = upto[np.searchsorted(starts, ends)]
         if len(whole):
